@@ -7,7 +7,9 @@ indexed alone and frequent ones as pairs, so that a line or passage that many do
 candidates by itself. Candidates are verified by exact intersection of the 64-bit token sets.
 
 Equal sets are one node from the start. Inside a key's documents no list of all pairs is made: they
-are first compared with one leader, and then only across parts that are not linked yet.
+are first compared with one leader, the one with the smallest share of tokens that no other document
+has, and then only documents that the leader did not reach with the rest, where the parity bitmaps of
+both sets leave room for the similarity. The bitmaps never rule out a similar pair.
 
 Defined cases: null and wordless texts have an empty set and no links; a text of fewer words than a
 shingle is one token; rows with equal ids are separate documents that report the same id.
@@ -21,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetloom.llm import words as W
@@ -33,7 +35,9 @@ SHINGLE, PERCENT = 5, 80
 FREQUENT = 64
 #: Frequent tokens that a pair may combine share one group; a document of 2**k tokens sees 2**k / GROUP groups.
 GROUP = 16
-LEADER_ROUNDS = 2
+
+#: 64-bit words of a set's parity bitmap.
+BITMAP = 16
 
 SETS, TOKENS = 0, 1
 _U = np.uint64
@@ -111,6 +115,19 @@ def signatures(tokens: np.ndarray, level: np.ndarray, percent: int = PERCENT, fr
     return np.concatenate(out)
 
 
+def _bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Bit h mod size is set if an odd number of tokens fall on it, so bitmaps differ in at most as many bits as sets in tokens."""
+    size = 64 * BITMAP
+    odd = np.bincount((W.mix(tokens) % _U(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _room(n: Column, m: Column, left: Column, right: Column, percent: int) -> Column:
+    """False only if the similarity of two sets of n and m tokens is surely less."""
+    differ = sum((F.bit_count(F.get(left, k).bitwiseXOR(F.get(right, k))) for k in range(BITMAP)), F.lit(0))
+    return differ * (100 + percent) <= (n + m) * (100 - percent)
+
+
 def _members(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """id, n_shingles, node (null for an empty set), and for one document of each set keys and tokens if it has keys."""
     blocks = packed(only(docs, id_col, text_col), text_col, "jaccard-blocks")
@@ -156,19 +173,22 @@ def _members(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
                 level = told(row, "tokens", TOKENS, keys, n_buckets, 1)[0][index]
                 found: list = [None] * len(sets)
                 blobs: list = [None] * len(sets)
+                alone: list = [None] * len(sets)
+                bits: list = [None] * len(sets)
                 at = 0
                 for k in own.tolist():
                     n = len(sets[k])
                     marks = signatures(sets[k], level[at : at + n], percent)
+                    alone[k] = int((level[at : at + n] == 0).sum()) * 1000 // n
                     at += n
                     if len(marks):
-                        found[k], blobs[k] = marks.view(np.int64), sets[k].tobytes()
+                        found[k], blobs[k], bits[k] = marks.view(np.int64), sets[k].tobytes(), _bitmap(sets[k])
                 n_own = pa.array([len(s) for s in sets], pa.int64())
                 ids = table.column(id_col).combine_chunks()
-                yield pa.RecordBatch.from_arrays([ids, n_own, pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names=["id", "n", "node", "keys", "tokens"])
+                yield pa.RecordBatch.from_arrays([ids, n_own, pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(blobs, pa.binary()), pa.array(alone, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n", "node", "keys", "tokens", "alone", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    described = with_answers(blocks, sets=sets, tokens=tokens).mapInArrow(describe, f"id {kind}, n long, node binary, keys array<long>, tokens binary")
+    described = with_answers(blocks, sets=sets, tokens=tokens).mapInArrow(describe, f"id {kind}, n long, node binary, keys array<long>, tokens binary, alone int, bits array<long>")
     return written(described, "jaccard-members")
 
 
@@ -217,25 +237,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = _members(docs, id_col, text_col, size, percent)
     owners = members.where("keys is not null")
     tokens = owners.select("node", "tokens")
-    postings = owners.select("node", "n", F.explode("keys").alias("key"))
+    postings = owners.select("node", "n", "alone", F.explode("keys").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     postings = written(postings.join(shared, "key").distinct(), "jaccard-postings")
     enough = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    links = written(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "jaccard-links")
-    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    own_root = F.coalesce("root", "node")
-    for _ in range(LEADER_ROUNDS):
-        rooted = postings.join(roots, "node", "left").withColumn("root", own_root)
-        open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("root", "node", "n")).alias("leader")).where("low != high")
-        led = rooted.join(open_.select("key", F.col("leader.root").alias("top"), F.col("leader.node").alias("a"), F.col("leader.n").alias("m")), "key")
-        pairs = led.where((F.col("root") != F.col("top")) & enough).select("a", F.col("node").alias("b")).distinct()
-        links = written(links.union(_verified(pairs, tokens, percent)), "jaccard-links")
-        roots = components(links)
-    rooted = postings.join(roots, "node", "left").withColumn("root", own_root)
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    rooted = written(rooted.join(open_, "key"), "jaccard-open")
-    other = rooted.select("key", F.col("root").alias("top"), F.col("node").alias("b"), F.col("n").alias("m"))
-    pairs = rooted.join(other, "key").where((F.col("root") < F.col("top")) & enough).select(F.col("node").alias("a"), "b").distinct()
+    leader = F.min(F.struct("alone", "node", "n")).alias("leader")
+    led = postings.join(postings.groupBy("key").agg(leader).select("key", F.col("leader.node").alias("a"), F.col("leader.n").alias("m")), "key")
+    pairs = led.where((F.col("a") != F.col("node")) & enough).select("a", F.col("node").alias("b")).distinct()
+    links = written(_verified(pairs, tokens, percent), "jaccard-links")
+    roots = components(links)
+    rooted = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("alone", "node", "root")).alias("leader"))
+    split = split.where("low != high").select("key", F.col("leader.root").alias("top"))
+    rooted = written(rooted.join(split, "key").join(owners.select("node", "bits"), "node").select("key", "top", "root", "node", "n", "bits"), "jaccard-open")
+    other = rooted.select("key", F.col("root").alias("their_root"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("their_bits"))
+    apart = (F.col("their_root") == F.col("top")) | (F.col("root") < F.col("their_root"))
+    left_out = rooted.where(F.col("root") != F.col("top")).join(other, "key")
+    pairs = left_out.where(apart & enough & _room(F.col("n"), F.col("m"), F.col("bits"), F.col("their_bits"), percent)).select(F.col("node").alias("a"), "b").distinct()
     roots = components(links.union(_verified(pairs, tokens, percent)))
     least = members.where("node is not null").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     least = least.groupBy("root").agg(F.min("id").alias("component_id"))
