@@ -52,7 +52,7 @@ def bleu(pairs: DataFrame, key: str, n: int = 4, **columns: str) -> DataFrame:
     precisions = [F.coalesce(f"p{k}", F.lit(0.0)) for k in range(1, n + 1)]
     mean = F.when(F.least(*precisions) > 0, F.exp(sum((F.log(p) for p in precisions), F.lit(0.0)) / n)).otherwise(0.0)
     short = F.when(F.col("n_predicted") >= F.col("n_reference"), 1.0).otherwise(F.exp(1 - F.try_divide("n_reference", "n_predicted")))
-    return found.select(key, (mean * short).alias("bleu"))
+    return found.select(key, F.coalesce(mean * short, F.lit(0.0)).alias("bleu"))
 
 
 @F.pandas_udf(DoubleType())
