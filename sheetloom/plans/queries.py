@@ -240,9 +240,9 @@ def proximity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.merge_near(elements(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
 
 
-@query(_ELEMENTS + "SELECT doc_id, page_number, CAST(run AS bigint) AS run, count(*) AS n_cells, round(avg(confidence) * 0.9, 6) AS confidence, " + _UNION + " FROM (" + _RUNS.format(far="coalesce(abs(y - lag(y) OVER v) > 2 * h, true)") + ") GROUP BY doc_id, page_number, run HAVING count(*) >= 4")
+@query(_ELEMENTS + "SELECT doc_id, page_number, CAST(run AS bigint) AS run, count(*) AS n_cells, round(avg(confidence) * 0.9, 9) AS confidence, " + _UNION + " FROM (" + _RUNS.format(far="coalesce(abs(y - lag(y) OVER v) > 2 * h, true)") + ") GROUP BY doc_id, page_number, run HAVING count(*) >= 4")
 def grid_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.grid_tables(elements(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+    return E.grid_tables(elements(spark, sf_dir)).withColumn("confidence", F.round("confidence", 9))
 
 
 @query(_ELEMENTS + "SELECT doc_id, page_number, ord, engine FROM elements WHERE confidence >= 0.5 QUALIFY priority = min(priority) OVER (PARTITION BY doc_id, page_number)")
