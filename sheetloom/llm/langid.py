@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetloom.llm.shared import only
+from sheetloom.llm.shared import only, written
 
 UNDETERMINED = "und"
 #: Labelled rows that the model is fitted on, about, taken by the hash of their id.
@@ -76,6 +76,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(count, "lang string, k int, gram string, m long")
     summed = rows.groupBy("k", "gram", "lang").agg(F.sum("m").alias("m"))
     kept = summed.groupBy("k", "gram").agg(F.sum("m").alias("all"), F.collect_list(F.struct("lang", "m")).alias("by")).where("`all` > 1")
+    kept = written(kept, "langid-counts")
     words: dict[str, dict[str, int]] = {}
     grams: dict[str, dict[str, int]] = {}
     for k in range(LONGEST + 1):
