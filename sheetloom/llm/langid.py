@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -63,10 +64,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                     found.setdefault((lang, 0), Counter()).update(words)
         for (lang, _), words in list(found.items()):
             for k in range(1, LONGEST + 1):
-                grams = found.setdefault((lang, k), Counter())
+                once = (w for w, m in words.items() if m == 1)
+                grams = found[lang, k] = Counter(chain.from_iterable(map(grams_of, once, repeat(k))))
                 for word, m in words.items():
-                    for g in grams_of(word, k):
-                        grams[g] += m
+                    if m > 1:
+                        for g in grams_of(word, k):
+                            grams[g] += m
         for (lang, k), counts in found.items():
             rows = list(counts.items())
             for lo in range(0, len(rows), 10_000):
@@ -98,37 +101,35 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 class Scorer:
-    """Sums of log frequencies by language; scores of unseen words are kept, a bounded number of them."""
+    """Sums of log frequencies by language. It keeps nothing of the texts it has judged."""
 
-    def __init__(self, model: Model, limit: int = 200_000):
+    def __init__(self, model: Model):
         self.langs, self.words, self.word_logs, self.grams, self.gram_logs = model
-        self.unseen: dict[str, np.ndarray] = {}
-        self.limit = limit
 
-    def back_off(self, word: str) -> np.ndarray:
-        found = self.unseen.get(word)
-        if found is None:
-            found = np.zeros(len(self.langs))
+    def back_off(self, words: Iterable[str]) -> np.ndarray:
+        """The sum, over ``words``, of the mean of the longest known n-grams of each; all words in one gather."""
+        at: list[int] = []
+        weight: list[float] = []
+        known = self.grams.get
+        for word in words:
+            whole = f"^{word}$"
             for k in range(LONGEST, 0, -1):
-                at = [i for i in map(self.grams.get, grams_of(word, k)) if i is not None]
-                if at:
-                    found = self.gram_logs[at].mean(axis=0)
+                found = [i for g in range(len(whole) - k + 1) if (i := known(whole[g : g + k])) is not None] if k > 1 else [i for c in word if (i := known(c)) is not None]
+                if found:
+                    at += found
+                    weight += [1 / len(found)] * len(found)
                     break
-            if len(self.unseen) < self.limit:
-                self.unseen[word] = found
-        return found
+        return np.array(weight) @ self.gram_logs[at] if at else np.zeros(len(self.langs))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall((text or "").lower())
         if not self.langs or not any(c.isalpha() for w in words for c in w):
             return UNDETERMINED, 0.0
-        at = list(map(self.words.get, words))
-        known = [i for i in at if i is not None]
-        total = self.word_logs[known].sum(axis=0) if known else np.zeros(len(self.langs))
-        if len(known) < len(words):
-            for word, i in zip(words, at):
-                if i is None:
-                    total = total + self.back_off(word)
+        at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int32, len(words))
+        total = self.word_logs.take(at[at >= 0], axis=0).sum(axis=0)
+        unseen = np.flatnonzero(at < 0)
+        if len(unseen):
+            total = total + self.back_off(map(words.__getitem__, unseen.tolist()))
         odds = np.exp(total - total.max())
         best = int(odds.argmax())  # the first in order of name among ties
         return self.langs[best], float(odds[best] / odds.sum())
