@@ -1,3 +1,52 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express, over the same whole tables."""
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+_PLAIN = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+_SUBSTRING_DEDUP = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents),
+starts AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS k FROM d),
+counted AS (SELECT r, k, count(*) OVER (PARTITION BY array_to_string(w[k:k + 34], ' ')) AS m FROM starts),
+gone AS (SELECT DISTINCT r, unnest(range(k, k + 35)) AS j FROM counted WHERE m > 1),
+spread AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY j) AS s FROM spread ANTI JOIN gone USING (r, j) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+_NGRAM_JACCARD = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_SPACED}) AS w FROM documents),
+starts AS (SELECT r, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS k FROM d),
+shingles AS (SELECT DISTINCT r, array_to_string(w[k:k + 4], ' ') AS s FROM starts),
+sets AS (SELECT r, count(*) AS n, sha256(string_agg(s, chr(10) ORDER BY s)) AS c FROM shingles GROUP BY r),
+classes AS (SELECT c, min(r) AS r, any_value(n) AS n, min(doc_id) AS least_id FROM sets JOIN d USING (r) GROUP BY c),
+theirs AS (SELECT c, n, s FROM shingles JOIN classes USING (r)),
+common AS (SELECT a.c AS x, b.c AS y, a.n AS m, b.n AS n, count(*) AS i FROM theirs a JOIN theirs b ON a.s = b.s AND a.c <> b.c GROUP BY ALL),
+links AS (SELECT x, y FROM common WHERE 100 * i >= 80 * (m + n - i)),
+reach AS (SELECT c AS x, c AS y FROM classes UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least AS (SELECT x AS c, min(least_id) AS component_id FROM reach JOIN classes ON classes.c = reach.y GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS component_id
+FROM d LEFT JOIN sets USING (r) LEFT JOIN least USING (c)
+"""
+
+_DECONTAMINATION = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_PLAIN}) AS w FROM documents),
+items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({_LOWER}, {_PLAIN}) AS w FROM benchmark),
+sized AS (SELECT item, w, least(len(w), 13) AS z FROM items WHERE len(w) > 0),
+item_starts AS (SELECT item, w, z, unnest(range(1, len(w) - z + 2)) AS k FROM sized),
+windows AS (SELECT DISTINCT item, z, array_to_string(w[k:k + z - 1], ' ') AS s FROM item_starts),
+doc_starts AS (SELECT r, w, z, unnest(range(1, len(w) - z + 2)) AS k FROM d, (SELECT DISTINCT z FROM windows)),
+found AS (SELECT r, k, z, item FROM (SELECT r, k, z, array_to_string(w[k:k + z - 1], ' ') AS s FROM doc_starts) JOIN windows USING (z, s)),
+hits AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(k, k + z)) AS j FROM found) GROUP BY r),
+whose AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(whose.n, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+coalesce(hits.n, 0) > 0 AND 20 * coalesce(hits.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN whose USING (r)
+"""
+
+SQL: dict[str, str] = {
+    "op3_substring_dedup": _SUBSTRING_DEDUP,
+    "op7_ngram_jaccard": _NGRAM_JACCARD,
+    "op10_decontamination": _DECONTAMINATION,
+}
