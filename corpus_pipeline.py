@@ -11,6 +11,8 @@ from sheetloom.llm import bpe, decontam, jaccard, langid, substring_dedup
 from sheetloom.llm.shared import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows that a Python worker holds at once while it encodes.
+BATCH = 500
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,11 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of what is left, and whether they decode to the text."""
+    """The token ids of what is left, and whether they decode to the text.
+
+    A batch that goes to Python holds texts, ids and bytes at once, so batches are of ``BATCH`` rows from here on in the session.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     coded = bpe.decode(bpe.encode(docs))
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
