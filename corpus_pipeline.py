@@ -46,7 +46,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A batch that goes to Python holds texts, ids and bytes at once, so batches are of ``BATCH`` rows from here on in the session.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
-    coded = bpe.decode(bpe.encode(docs))
+    coded = bpe.round_trip(docs)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -17,15 +17,22 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetloom.llm.shared import held
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 _UNSAFE = re.compile(r"\s ")
 _SAFE = re.compile(r"(?<=\S) ")
+#: Pieces whose ids a worker keeps: about 30 MB.
+KNOWN = 200_000
+#: Rows that are encoded at once.
+ROWS = 500
 #: Characters of a stretch without safe boundary that are encoded at once.
 STRETCH = 1 << 16
 
@@ -34,7 +41,7 @@ class Pieces:
     """Encodes texts piece by piece. ``encode`` maps strings to their ids as bytes; the ids of pieces of up to
     64 characters are kept, ``limit`` pieces at most."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = KNOWN):
         self.encode, self.limit = encode, limit
         self.known: dict[str, bytes] = {}
 
@@ -85,14 +92,13 @@ def stretches(text: str, most: int = STRETCH) -> Iterator[str]:
         yield text[lo:]
 
 
-@lru_cache(maxsize=2)
 def _pieces(path: str) -> Pieces:
     encode = _encoding(path).encode_ordinary
 
     def ids(texts: list[str]) -> list[bytes]:
         return [np.array([i for part in stretches(t) for i in encode(part)] if len(t) > STRETCH else encode(t), dtype="<u4").tobytes() for t in texts]
 
-    return Pieces(ids)
+    return held(f"pieces {path}", None, lambda: Pieces(ids))
 
 
 def rank_file(path: str | None) -> str:
@@ -108,10 +114,7 @@ def encode(df: DataFrame, text_col: str = "text", out: str = "ids", path: str |
 
     @F.pandas_udf("binary")
     def ids(texts: pd.Series) -> pd.Series:
-        values, found = texts.tolist(), []
-        for lo in range(0, len(values), 1000):
-            found += _pieces(path)(values[lo : lo + 1000])
-        return pd.Series(found, dtype=object)
+        return pd.Series([x for lo in range(0, len(texts), ROWS) for x in _pieces(path)(texts[lo : lo + ROWS].tolist())], dtype=object)
 
     return df.withColumn(out, ids(F.coalesce(df[f"`{text_col}`"], F.lit(""))))
 
@@ -128,7 +131,30 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str
     return df.withColumn(out, raw(df[f"`{ids_col}`"]))
 
 
+def round_trip(df: DataFrame, text_col: str = "text", ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:
+    """``df`` with the columns that ``encode`` and then ``decode`` give, by one worker that takes ``ROWS`` texts at a time.
+
+    Ids of one step after the other would hold two workers' tables and the batches between them in each executor core.
+    """
+    path = rank_file(path)
+
+    @F.arrow_udf("ids binary, decoded binary")
+    def both(texts: pa.Array) -> pa.Array:
+        pieces, back, coded, raw = _pieces(path), _encoding(path).decode_bytes, [], []
+        for lo in range(0, len(texts), ROWS):
+            found = pieces(texts.slice(lo, ROWS).to_pylist())
+            coded.append(pa.array(found, pa.binary()))
+            raw.append(pa.array([back(np.frombuffer(x, dtype="<u4").tolist()) for x in found], pa.binary()))
+        if not coded:
+            return pa.array([], pa.struct([("ids", pa.binary()), ("decoded", pa.binary())]))
+        return pa.StructArray.from_arrays([pa.concat_arrays(coded), pa.concat_arrays(raw)], names=["ids", "decoded"])
+
+    kept = [df[f"`{c}`"] for c in df.columns if c not in (ids, decoded)]
+    coded = df.select(*kept, both(F.coalesce(df[f"`{text_col}`"], F.lit(""))).alias("_coded"))
+    return coded.select("*", F.col("_coded.ids").alias(ids), F.col("_coded.decoded").alias(decoded)).drop("_coded")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, and the digests of the ids and of the bytes decoded from them."""
-    coded = decode(encode(docs.select("doc_id", "text")))
+    coded = round_trip(docs.select("doc_id", "text"))
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetloom.llm.shared import only, written
+from sheetloom.llm.shared import held, only, written
 from sheetloom.llm.words import LOWER
 
 WINDOW = 13
@@ -30,8 +30,6 @@ SHARE = 20
 SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _NORMAL = bytes(32 if LOWER[b] in SEPARATORS else LOWER[b] for b in range(256))
 
-_cache: dict[int, ahocorasick.Automaton] = {}
-
 
 def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_NORMAL).split()
@@ -43,7 +41,8 @@ def windows(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
 
 def _automaton(shared: Broadcast, size: int) -> ahocorasick.Automaton:
     """Built once in each worker; the value of a pattern is (its number of bytes, items)."""
-    if id(shared.value) not in _cache:
+
+    def make() -> ahocorasick.Automaton:
         found: dict[str, set[str]] = {}
         for item, text in shared.value:
             for window in windows(normal_words(text), size):
@@ -53,9 +52,9 @@ def _automaton(shared: Broadcast, size: int) -> ahocorasick.Automaton:
             automaton.add_word(pattern, (len(pattern), sorted(items)))
         if found:
             automaton.make_automaton()
-        _cache.clear()
-        _cache[id(shared.value)] = automaton
-    return _cache[id(shared.value)]
+        return automaton
+
+    return held(f"automaton {size}", shared.value, make)
 
 
 def find(text: bytes, automaton: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], set[str]]:
@@ -105,18 +104,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     items = only(benchmark, item_col, item_text_col).select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
-    portions, held = [], 0
+    portions, n_held = [], 0
     for item, text in items.toLocalIterator():
         n = len(text.encode())
-        if not portions or held + n > most:
+        if not portions or n_held + n > most:
             portions.append([])
-            held = 0
+            n_held = 0
         portions[-1].append((item, text))
-        held += n
+        n_held += n
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, text string, n_words long, found array<struct<start: int, end: int>>, items array<string>"
-    arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    current = only(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start: int, end: int>>").alias("found"), F.array().cast("array<string>").alias("items"))
+    byte_spans, spans_type = "found array<struct<start: int, end: int>>", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    current = only(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast(byte_spans.removeprefix("found ")).alias("found"), F.array().cast("array<string>").alias("items"))
     for number, portion in enumerate(portions or [[]]):
         shared = spark.sparkContext.broadcast(portion)
         last = number >= len(portions) - 1
@@ -124,38 +122,27 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared, last: bool = last) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(shared, size)
             for batch in batches:
-                texts, before, had = batch.column("text"), batch.column("found").to_pylist(), batch.column("items").to_pylist()
-                n_words, spans, names = [], [], []
-                for text, old, seen in zip(texts.to_pylist(), before, had):
-                    raw = (text or "").encode()
+                before, had = batch.column("found").to_pylist(), batch.column("items").to_pylist()
+                n_words, n_hit, spans, names = [], [], [], []
+                for text, old, seen in zip(batch.column("text"), before, had):
+                    raw = (text.as_py() or "").encode()
                     n, found, who = find(raw, automaton)
-                    found = _merged([(s["start"], s["end"]) for s in old or []] + found) if old else found
+                    if old:
+                        found = _merged([(s["start"], s["end"]) for s in old] + found)
                     n_words.append(n)
-                    spans.append([{"start": a, "end": b} for a, b in found])
+                    n_hit.append(sum(len(raw[a:b].translate(_NORMAL).split()) for a, b in found))
+                    spans.append(_spans(raw, found) if last else [{"start": a, "end": b} for a, b in found])
                     names.append(sorted(set(seen or []) | who))
-                texts = texts if not last else _hit_texts(texts, spans)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), texts, pa.array(n_words, pa.int64()), pa.array(spans, arrow), pa.array(names, pa.list_(pa.string()))], names=["id", "text", "n_words", "found", "items"])
-
-        current = current.mapInArrow(run, schema)
-        if not last:
-            current = written(current, "decontamination")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_hit, spans = [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
-                raw = (text or "").encode()
-                bytes_ = [(s["start"], s["end"]) for s in found]
-                n_hit.append(sum(len(raw[a:b].translate(_NORMAL).split()) for a, b in bytes_))
-                spans.append(_spans(raw, bytes_))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), batch.column("items"), pa.array(spans, arrow)], names=[id_col, "n_words", "n_hit", "items", "spans"])
-
-    return current.mapInArrow(finish, f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>")
-
-
-def _hit_texts(texts: pa.Array, spans: list[list]) -> pa.Array:
-    """Texts without spans need not be sent on."""
-    return pa.array([t.as_py() if s else None for t, s in zip(texts, spans)], pa.string())
+                places, who = pa.array(spans, spans_type), pa.array(names, pa.list_(pa.string()))
+                if last:
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), who, places], names=[id_col, "n_words", "n_hit", "items", "spans"])
+                else:
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), places, who], names=["id", "text", "found", "items"])
+
+        if last:
+            return current.mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>")
+        current = written(current.mapInArrow(run, f"id {kind}, text string, {byte_spans}, items array<string>"), "decontamination")
+    raise AssertionError("the last portion returns")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetloom.llm.shared import partitions, written
+from sheetloom.llm.shared import partitions, tidy, written
 
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
@@ -78,7 +78,7 @@ def packed(df: DataFrame, text_col: str, name: str) -> DataFrame:
         if held:
             yield flush()
 
-    return written(df.mapInArrow(pack, BLOCKS).withColumn("block_id", F.monotonically_increasing_id()), name)
+    return written(df.mapInArrow(tidy(pack), BLOCKS).withColumn("block_id", F.monotonically_increasing_id()), name)
 
 
 def bucket_count(blocks: DataFrame) -> int:
@@ -181,13 +181,13 @@ def ask(
             yield _batch([*rows, (kind, bucket, -1, np.array(figures, dtype="<i8").tobytes())], _SCHEMA)
 
     spark = asking.sparkSession
-    with_size = asking.mapInArrow(send, ROWS)
+    with_size = asking.mapInArrow(tidy(send), ROWS)
     small = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
     before = {k: spark.conf.get(k) for k in small}
     try:
         for k, v in small.items():
             spark.conf.set(k, v)
-        return written(with_size.repartitionById(n_buckets, F.col("bucket")).mapInArrow(answer, ROWS), name)
+        return written(with_size.repartitionById(n_buckets, F.col("bucket")).mapInArrow(tidy(answer), ROWS), name)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sheetloom.llm import words as W
 from sheetloom.llm.exchange import ask, bucket_count, packed, texts_of, told, unpack, with_answers
-from sheetloom.llm.shared import only, written
+from sheetloom.llm.shared import only, tidy, written
 
 SHINGLE, PERCENT = 5, 80
 #: Document frequencies from here on make a token frequent: it is indexed in pairs.
@@ -188,7 +188,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
                 yield pa.RecordBatch.from_arrays([ids, n_own, pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(blobs, pa.binary()), pa.array(alone, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n", "node", "keys", "tokens", "alone", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    described = with_answers(blocks, sets=sets, tokens=tokens).mapInArrow(describe, f"id {kind}, n long, node binary, keys array<long>, tokens binary, alone int, bits array<long>")
+    described = with_answers(blocks, sets=sets, tokens=tokens).mapInArrow(tidy(describe), f"id {kind}, n long, node binary, keys array<long>, tokens binary, alone int, bits array<long>")
     return written(described, "jaccard-members")
 
 
@@ -206,7 +206,7 @@ def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a binary, b binary")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(tidy(check), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:

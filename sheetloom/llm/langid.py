@@ -18,11 +18,10 @@ from itertools import chain, repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetloom.llm.shared import only, written
+from sheetloom.llm.shared import only, tidy, written
 
 UNDETERMINED = "und"
 #: Labelled rows that the model is fitted on, about, taken by the hash of their id.
@@ -76,7 +75,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 part = rows[lo : lo + 10_000]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([k] * len(part), pa.int32()), pa.array([g for g, _ in part]), pa.array([m for _, m in part], pa.int64())], names=["lang", "k", "gram", "m"])
 
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(count, "lang string, k int, gram string, m long")
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(tidy(count), "lang string, k int, gram string, m long")
     summed = rows.groupBy("k", "gram", "lang").agg(F.sum("m").alias("m"))
     kept = summed.groupBy("k", "gram").agg(F.sum("m").alias("all"), F.collect_list(F.struct("lang", "m")).alias("by")).where("`all` > 1")
     kept = written(kept, "langid-counts")
@@ -135,23 +134,13 @@ class Scorer:
         return self.langs[best], float(odds[best] / odds.sum())
 
 
-_scorers: dict[int, Scorer] = {}
-
-
-def _scorer(shared: Broadcast) -> Scorer:
-    if id(shared.value) not in _scorers:
-        _scorers.clear()
-        _scorers[id(shared.value)] = Scorer(shared.value)
-    return _scorers[id(shared.value)]
-
-
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score, the probability of that language by equal priors."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        scorer = _scorer(shared)
+        scorer = Scorer(shared.value)
         return pd.DataFrame([scorer(t) for t in texts], columns=["lang_pred", "score"])
 
     kept = [docs[f"`{c}`"] for c in docs.columns if c not in ("lang_pred", "score")]

@@ -1,10 +1,14 @@
-"""Session helpers of the corpus operators: shared folder, written tables, column hygiene."""
+"""Helpers of the corpus operators: shared folder, written tables, column hygiene, memory of workers."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,5 +44,40 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in columns])
 
 
+_held: tuple[str, Any, Any] | None = None
+
+
+def held(name: str, of: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives for ``name`` and the object ``of``. A worker keeps one such thing until it needs another.
+
+    Spark reuses workers for the stages of all operators, whose tables would add up otherwise.
+    """
+    global _held
+    if _held is None or _held[0] != name or _held[1] is not of:
+        _held = None
+        _held = (name, of, make())
+    return _held[2]
+
+
+def give_back() -> None:
+    """Return the worker's free memory to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, for functions that keep nothing: what is held goes before, free memory after."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("", None, lambda: None)
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

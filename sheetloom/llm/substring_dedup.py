@@ -23,6 +23,7 @@ from pyspark.sql.types import LongType, StringType, StructType
 
 from sheetloom.llm import words as W
 from sheetloom.llm.exchange import ask, bucket_count, packed, texts_of, told, unpack, with_answers
+from sheetloom.llm.shared import tidy
 
 WINDOW = 35
 #: A perfect difference set: every difference modulo the period is one of two members.
@@ -136,7 +137,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = WINDO
                 columns += [pa.array(n, pa.int64()), pa.array(n - kept, pa.int64()), pa.array(out, pa.string())]
                 yield pa.RecordBatch.from_arrays([_one(c).cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return with_answers(blocks, anchors=anchors, windows=repeated).mapInArrow(remove, schema)
+    return with_answers(blocks, anchors=anchors, windows=repeated).mapInArrow(tidy(remove), schema)
 
 
 def _one(column: pa.Array | pa.ChunkedArray) -> pa.Array:

@@ -175,7 +175,7 @@ def _tokenizer(path: str) -> tuple[Pieces, int]:
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=kind).tobytes() for x in found]
 
-    return Pieces(ids), size
+    return Pieces(ids, 1_000_000), size
 
 
 def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, shards: int | None = None) -> None:
