@@ -11,6 +11,7 @@ again from the written blocks, so a lost executor costs only its own tasks.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache, reduce
 from typing import Any
 
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetloom.llm.shared import partitions, tidy, written
@@ -43,6 +44,13 @@ def unpack(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.decompress(payload)).read_all()
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, Any]]:
+    """Rows one by one: a row holds a block and its answers, so that a batch's rows at once would be many MB."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 def texts_of(table: pa.Table, column: str) -> list[bytes]:
     """UTF-8 bytes, empty for null."""
     values = table.column(column).cast(pa.large_string()).cast(pa.large_binary())
@@ -123,6 +131,20 @@ def decode(data: bytes, n_values: int, bits: int) -> tuple[np.ndarray, list[np.n
     return keys << np.uint64(64 - bits), values
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written inside goes to Python in batches of at most 8 MB, or of one row."""
+    small = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(BLOCK_BYTES)}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @lru_cache
 def _edges(n_buckets: int) -> np.ndarray:
     return np.array([-(-(k << 64) // n_buckets) for k in range(1, n_buckets)], dtype=np.uint64)
@@ -157,16 +179,15 @@ def ask(
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                rows = []
-                for kind, keys, values in emit(row):
-                    cuts = _cuts(keys, n_buckets)
-                    for b in np.flatnonzero(np.diff(cuts)):
-                        lo, hi = cuts[b], cuts[b + 1]
-                        rows.append((kind, int(b), row["block_id"], encode(keys[lo:hi], [v[lo:hi] for v in values], bits[kind])))
-                if rows:
-                    yield _batch(rows, _SCHEMA)
+        for row in rows_of(batches):
+            rows = []
+            for kind, keys, values in emit(row):
+                cuts = _cuts(keys, n_buckets)
+                for b in np.flatnonzero(np.diff(cuts)):
+                    lo, hi = cuts[b], cuts[b + 1]
+                    rows.append((kind, int(b), row["block_id"], encode(keys[lo:hi], [v[lo:hi] for v in values], bits[kind])))
+            if rows:
+                yield _batch(rows, _SCHEMA)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
@@ -180,17 +201,9 @@ def ask(
             rows = [(kind, bucket, block, b"".join(map(_planes, columns))) for (block, _), columns in zip(asked, answers)]
             yield _batch([*rows, (kind, bucket, -1, np.array(figures, dtype="<i8").tobytes())], _SCHEMA)
 
-    spark = asking.sparkSession
-    with_size = asking.mapInArrow(tidy(send), ROWS)
-    small = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
-    before = {k: spark.conf.get(k) for k in small}
-    try:
-        for k, v in small.items():
-            spark.conf.set(k, v)
-        return written(with_size.repartitionById(n_buckets, F.col("bucket")).mapInArrow(tidy(answer), ROWS), name)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    sent = asking.mapInArrow(tidy(send), ROWS)
+    with small_batches(asking.sparkSession):
+        return written(sent.repartitionById(n_buckets, F.col("bucket")).mapInArrow(tidy(answer), ROWS), name)
 
 
 def with_answers(blocks: DataFrame, **answers: DataFrame) -> DataFrame:

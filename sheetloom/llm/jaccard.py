@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetloom.llm import words as W
-from sheetloom.llm.exchange import ask, bucket_count, packed, texts_of, told, unpack, with_answers
+from sheetloom.llm.exchange import ask, bucket_count, packed, rows_of, small_batches, texts_of, told, unpack, with_answers
 from sheetloom.llm.shared import only, tidy, written
 
 SHINGLE, PERCENT = 5, 80
@@ -165,31 +165,31 @@ def _members(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     tokens = ask(with_answers(blocks, sets=sets), emit_tokens, _resolve, n_buckets, **settings, name="jaccard-tokens")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                table, sets, nodes, own = own_sets(row)
-                every = tokens_of(sets, own)
-                keys, index = np.unique(every, return_inverse=True)
-                level = told(row, "tokens", TOKENS, keys, n_buckets, 1)[0][index]
-                found: list = [None] * len(sets)
-                blobs: list = [None] * len(sets)
-                alone: list = [None] * len(sets)
-                bits: list = [None] * len(sets)
-                at = 0
-                for k in own.tolist():
-                    n = len(sets[k])
-                    marks = signatures(sets[k], level[at : at + n], percent)
-                    alone[k] = int((level[at : at + n] == 0).sum()) * 1000 // n
-                    at += n
-                    if len(marks):
-                        found[k], blobs[k], bits[k] = marks.view(np.int64), sets[k].tobytes(), _bitmap(sets[k])
-                n_own = pa.array([len(s) for s in sets], pa.int64())
-                ids = table.column(id_col).combine_chunks()
-                yield pa.RecordBatch.from_arrays([ids, n_own, pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(blobs, pa.binary()), pa.array(alone, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n", "node", "keys", "tokens", "alone", "bits"])
+        for row in rows_of(batches):
+            table, sets, nodes, own = own_sets(row)
+            every = tokens_of(sets, own)
+            keys, index = np.unique(every, return_inverse=True)
+            level = told(row, "tokens", TOKENS, keys, n_buckets, 1)[0][index]
+            found: list = [None] * len(sets)
+            blobs: list = [None] * len(sets)
+            alone: list = [None] * len(sets)
+            bits: list = [None] * len(sets)
+            at = 0
+            for k in own.tolist():
+                n = len(sets[k])
+                marks = signatures(sets[k], level[at : at + n], percent)
+                alone[k] = int((level[at : at + n] == 0).sum()) * 1000 // n
+                at += n
+                if len(marks):
+                    found[k], blobs[k], bits[k] = marks.view(np.int64), sets[k].tobytes(), _bitmap(sets[k])
+            n_own = pa.array([len(s) for s in sets], pa.int64())
+            ids = table.column(id_col).combine_chunks()
+            yield pa.RecordBatch.from_arrays([ids, n_own, pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(blobs, pa.binary()), pa.array(alone, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n", "node", "keys", "tokens", "alone", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     described = with_answers(blocks, sets=sets, tokens=tokens).mapInArrow(tidy(describe), f"id {kind}, n long, node binary, keys array<long>, tokens binary, alone int, bits array<long>")
-    return written(described, "jaccard-members")
+    with small_batches(docs.sparkSession):
+        return written(described, "jaccard-members")
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -244,7 +244,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leader = F.min(F.struct("alone", "node", "n")).alias("leader")
     led = postings.join(postings.groupBy("key").agg(leader).select("key", F.col("leader.node").alias("a"), F.col("leader.n").alias("m")), "key")
     pairs = led.where((F.col("a") != F.col("node")) & enough).select("a", F.col("node").alias("b")).distinct()
-    links = written(_verified(pairs, tokens, percent), "jaccard-links")
+    with small_batches(docs.sparkSession):
+        links = written(_verified(pairs, tokens, percent), "jaccard-links")
     roots = components(links)
     rooted = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("alone", "node", "root")).alias("leader"))
@@ -254,7 +255,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = (F.col("their_root") == F.col("top")) | (F.col("root") < F.col("their_root"))
     left_out = rooted.where(F.col("root") != F.col("top")).join(other, "key")
     pairs = left_out.where(apart & enough & _room(F.col("n"), F.col("m"), F.col("bits"), F.col("their_bits"), percent)).select(F.col("node").alias("a"), "b").distinct()
-    roots = components(links.union(_verified(pairs, tokens, percent)))
+    with small_batches(docs.sparkSession):
+        roots = components(links.union(_verified(pairs, tokens, percent)))
     least = members.where("node is not null").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     least = least.groupBy("root").agg(F.min("id").alias("component_id"))
     named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(least, "root", "left")

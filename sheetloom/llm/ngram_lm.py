@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetloom.llm import words as W
-from sheetloom.llm.exchange import ask, bucket_count, figures, packed, texts_of, told, unpack, with_answers
+from sheetloom.llm.exchange import ask, bucket_count, figures, packed, rows_of, texts_of, told, unpack, with_answers
 from sheetloom.llm.shared import only
 
 #: Two words: the disk that the check tool grants holds the keys of pairs of words, not those of three as well.
@@ -185,37 +185,36 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         types = once = twice = total = tokens = seen = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = block(row)
-                keys, index, _ = b.keys(1, order)
-                got = [x.astype(float) for x in told(row, "a1", 1, keys, n_buckets, 1 + n_values[1])]
-                raw = got[1 if order == 1 else 2][index]
-                d = discounts[1]
-                c = got[1][index]
-                if total:
-                    spare = (d[1] * once + d[2] * twice + d[3] * (types - once - twice)) / total
-                    p = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / total + spare / (seen + 1)
-                else:
-                    p = np.ones(len(index))
-                for m in range(2, order + 1):
-                    lower, _, contexts = b.keys(m - 1, order)
-                    stats = [x[contexts].astype(float) for x in told(row, f"a{m - 1}", m - 1, lower, n_buckets, 1 + n_values[m - 1])]
-                    keys, index, _ = b.keys(m, order)
-                    c = told(row, f"a{m}", m, keys, n_buckets, 1 + n_values[m])[1][index].astype(float)
-                    d = discounts[m]
-                    sums_, (n1, n2, n3) = stats[3], stats[4:7]
-                    known = sums_ > 0
-                    safe = np.where(known, sums_, 1)
-                    higher = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / safe + (d[1] * n1 + d[2] * n2 + d[3] * n3) / safe * p
-                    p = np.where(known, higher, p)
-                base = np.log10((raw + 0.1) / (tokens + 0.1 * (seen + 1)))
-                add = lambda x: np.add.reduceat(x, b.starts) if len(b.starts) else x[:0]
-                n = len(b.starts)
-                yield pa.RecordBatch.from_arrays(
-                    [b.table.column(id_col).combine_chunks(), pa.array(b.held), pa.array(b.lengths, pa.int64()), pa.array(add((raw > 0).astype(np.int64)), pa.int64()), pa.array(np.full(n, tokens), pa.int64()), pa.array(add(base), pa.float64()), pa.array(add(np.log10(p)), pa.float64())],
-                    names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for row in rows_of(batches):
+            b = block(row)
+            keys, index, _ = b.keys(1, order)
+            got = [x.astype(float) for x in told(row, "a1", 1, keys, n_buckets, 1 + n_values[1])]
+            raw = got[1 if order == 1 else 2][index]
+            d = discounts[1]
+            c = got[1][index]
+            if total:
+                spare = (d[1] * once + d[2] * twice + d[3] * (types - once - twice)) / total
+                p = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / total + spare / (seen + 1)
+            else:
+                p = np.ones(len(index))
+            for m in range(2, order + 1):
+                lower, _, contexts = b.keys(m - 1, order)
+                stats = [x[contexts].astype(float) for x in told(row, f"a{m - 1}", m - 1, lower, n_buckets, 1 + n_values[m - 1])]
+                keys, index, _ = b.keys(m, order)
+                c = told(row, f"a{m}", m, keys, n_buckets, 1 + n_values[m])[1][index].astype(float)
+                d = discounts[m]
+                sums_, (n1, n2, n3) = stats[3], stats[4:7]
+                known = sums_ > 0
+                safe = np.where(known, sums_, 1)
+                higher = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / safe + (d[1] * n1 + d[2] * n2 + d[3] * n3) / safe * p
+                p = np.where(known, higher, p)
+            base = np.log10((raw + 0.1) / (tokens + 0.1 * (seen + 1)))
+            add = lambda x: np.add.reduceat(x, b.starts) if len(b.starts) else x[:0]
+            n = len(b.starts)
+            yield pa.RecordBatch.from_arrays(
+                [b.table.column(id_col).combine_chunks(), pa.array(b.held), pa.array(b.lengths, pa.int64()), pa.array(add((raw > 0).astype(np.int64)), pa.int64()), pa.array(np.full(n, tokens), pa.int64()), pa.array(add(base), pa.float64()), pa.array(add(np.log10(p)), pa.float64())],
+                names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return with_answers(blocks, **asked).mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")

@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructType
 
 from sheetloom.llm import words as W
-from sheetloom.llm.exchange import ask, bucket_count, packed, texts_of, told, unpack, with_answers
+from sheetloom.llm.exchange import ask, bucket_count, packed, rows_of, texts_of, told, unpack, with_answers
 from sheetloom.llm.shared import tidy
 
 WINDOW = 35
@@ -102,7 +102,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = WINDO
         w = words(row)[2]
         at, hashes = places(row, w)
         keys, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-        check = W.windows(w.hashes, window, at[first], 1) >> np.uint64(32)
+        check = W.windows(w.hashes, window, at, 1)[first] >> np.uint64(32)
         return [(WINDOWS, keys, [(counts > 1).astype(np.uint64), check])]
 
     size = {"n_values": {ANCHORS: 1, WINDOWS: 2}, "bits": {ANCHORS: 40, WINDOWS: 64}}
@@ -115,27 +115,26 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = WINDO
     arrow, own = to_arrow_schema(schema), [f.name for f in schema][:-3]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                table, texts, w = words(row)
-                at, hashes = places(row, w)
-                keys, index = np.unique(hashes, return_inverse=True)
-                (again,) = told(row, "windows", WINDOWS, keys, n_buckets, 1)
-                at = at[again[index] > 0]
-                steps = np.zeros(len(w.hashes) + window + 1, dtype=np.int32)
-                steps[at] += 1
-                np.add.at(steps, at + window, -1)
-                keep = np.cumsum(steps)[: len(w.hashes)] == 0
-                n = np.diff(w.first)
-                total = np.concatenate([[0], np.cumsum(keep)])
-                kept = total[w.first[1:]] - total[w.first[:-1]]
-                out = [
-                    b" ".join(t.split() if k == m else compress(t.split(), keep[a : a + m])).decode()
-                    for t, a, m, k in zip(texts, w.first.tolist(), n.tolist(), kept.tolist())
-                ]
-                columns = [table.column(c).combine_chunks() for c in own]
-                columns += [pa.array(n, pa.int64()), pa.array(n - kept, pa.int64()), pa.array(out, pa.string())]
-                yield pa.RecordBatch.from_arrays([_one(c).cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        for row in rows_of(batches):
+            table, texts, w = words(row)
+            at, hashes = places(row, w)
+            keys, index = np.unique(hashes, return_inverse=True)
+            (again,) = told(row, "windows", WINDOWS, keys, n_buckets, 1)
+            at = at[again[index] > 0]
+            steps = np.zeros(len(w.hashes) + window + 1, dtype=np.int32)
+            steps[at] += 1
+            np.add.at(steps, at + window, -1)
+            keep = np.cumsum(steps)[: len(w.hashes)] == 0
+            n = np.diff(w.first)
+            total = np.concatenate([[0], np.cumsum(keep)])
+            kept = total[w.first[1:]] - total[w.first[:-1]]
+            out = [
+                b" ".join(t.split() if k == m else compress(t.split(), keep[a : a + m])).decode()
+                for t, a, m, k in zip(texts, w.first.tolist(), n.tolist(), kept.tolist())
+            ]
+            columns = [table.column(c).combine_chunks() for c in own]
+            columns += [pa.array(n, pa.int64()), pa.array(n - kept, pa.int64()), pa.array(out, pa.string())]
+            yield pa.RecordBatch.from_arrays([_one(c).cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return with_answers(blocks, anchors=anchors, windows=repeated).mapInArrow(tidy(remove), schema)
 

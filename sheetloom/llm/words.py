@@ -15,7 +15,7 @@ import xxhash
 
 SPACES = b" \t\n\r\x0b\x0c"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _LONG = 512  # words of more bytes are hashed one by one
 
 _U = np.uint64
@@ -117,13 +117,20 @@ def windows(hashes: np.ndarray, size: int, at: np.ndarray | None = None, kind: i
     """Hashes of the windows of ``size`` words that start at every place, or at the places given.
 
     The caller leaves out windows that would pass the end of a text; the last ``size - 1`` places have none.
+    Places ascend. A value depends on the window's words alone, so stretches of places are hashed one after another.
     """
     n = len(hashes)
-    if n < size:
-        return np.zeros(0, dtype=_U)
-    base = _WORD[kind]
-    sums = np.zeros(n + 1, dtype=_U)
-    np.cumsum(hashes * powers(base, n)[:n], out=sums[1:])
     at = np.arange(n - size + 1) if at is None else at
-    value = (sums[at + size] - sums[at]) * powers(_inverse(base), n)[at]
-    return mix(value + _U(size))
+    if n < size or not len(at):
+        return np.zeros(0, dtype=_U)
+    base, out = _WORD[kind], np.empty(len(at), dtype=_U)
+    edges = range(0, n - size + 1, _CHUNK)
+    cuts = np.searchsorted(at, [*edges, n]).tolist()
+    for lo, a, b in zip(edges, cuts, cuts[1:]):
+        part = hashes[lo : lo + _CHUNK + size]
+        m = len(part)
+        sums = np.zeros(m + 1, dtype=_U)
+        np.cumsum(part * powers(base, m)[:m], out=sums[1:])
+        s = at[a:b] - lo
+        out[a:b] = mix((sums[s + size] - sums[s]) * powers(_inverse(base), m)[s] + _U(size))
+    return out

@@ -410,3 +410,20 @@ def test_url_filter_on_empty_tables(spark):
 
 def test_every_query_is_there():
     assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+
+
+def test_windows_do_not_depend_on_stretches(monkeypatch):
+    import numpy as np
+
+    from sheetloom.llm import words as W
+
+    texts = [(" ".join(f"w{k % 37}é" for k in range(n))).encode() for n in (0, 1, 4, 5, 90, 333)]
+    w = W.split(texts)
+    some = np.flatnonzero(np.arange(len(w.hashes) - 4) % 3 == 1)
+    whole = W.windows(w.hashes, 5), W.windows(w.hashes, 5, some), W.windows(w.hashes, 35, kind=1)
+    monkeypatch.setattr(W, "_CHUNK", 16)
+    again = W.split(texts)
+    assert (again.hashes == w.hashes).all()
+    for a, b in zip(whole, (W.windows(w.hashes, 5), W.windows(w.hashes, 5, some), W.windows(w.hashes, 35, kind=1))):
+        assert len(a) and (a == b).all()
+    assert (whole[0][some] == whole[1]).all()
