@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express, over the same whole tables."""
 
+from sheetloom.llm.url_filter import LEAST_GOOD, RULES, SECOND_LEVEL, STRONGEST, WEAKEST, Z
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 _PLAIN = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -45,7 +47,58 @@ coalesce(hits.n, 0) > 0 AND 20 * coalesce(hits.n, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hits USING (r) LEFT JOIN whose USING (r)
 """
 
+_HOST = "coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+
+
+def _strength(stats: str) -> str:
+    """Pages that a prior counts for, by moments, from a table of n, good and mean."""
+    return f"""(SELECT CASE WHEN n IS NULL OR n = 0 OR v = 0 OR g < 2 OR n <= g THEN {WEAKEST}
+WHEN (s / (v / n) - g) / (n - g) <= 1 / ({STRONGEST} + 1) THEN {STRONGEST}
+ELSE least(greatest(1 / ((s / (v / n) - g) / (n - g)) - 1, {WEAKEST}), {STRONGEST}) END::DOUBLE AS m
+FROM (SELECT sum(n)::DOUBLE AS n, count(*) AS g, sum(mean * (1 - mean) * n) AS v, sum((good - n * mean) ** 2 / n) AS s FROM {stats}))"""
+
+
+def _bound(mean: str, count: str) -> str:
+    return f"{mean} - {Z!r} * sqrt({mean} * (1 - {mean}) / ({count} + 1))"
+
+
+def _rule() -> tuple[str, str]:
+    """The longest rule that fits and its verdict, as expressions."""
+    cases = []
+    for rule, says in sorted(RULES, key=lambda r: -len(r[0])):
+        own, slash, start = rule.partition("/")
+        cases.append((f"WHEN (host = '{own}' OR suffix(host, '.{own}')) AND prefix(path, '{slash}{start}') THEN", rule, says))
+    return tuple("CASE " + " ".join(f"{c[0]} '{c[k]}'" for c in cases) + " END" for k in (1, 2))
+
+
+_URL_FILTER = rf"""
+WITH urls AS (SELECT page_id, {_HOST} AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+    FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages)),
+names AS (SELECT host, l, CASE WHEN len(l) > 2 AND length(l[-1]) = 2 AND l[-2] IN {SECOND_LEVEL} THEN 2 ELSE 1 END AS k
+    FROM (SELECT host, string_split(host, '.') AS l FROM (SELECT DISTINCT host FROM urls))),
+parts AS (SELECT host, array_to_string(l[greatest(len(l) - k, 1):], '.') AS domain, array_to_string(l[greatest(len(l) - k + 1, 1):], '.') AS suffix FROM names),
+labelled AS (SELECT host, (quality = 1 AND toxic = 0)::INT AS good FROM labels JOIN urls ON page_id = doc_id WHERE (quality = 1 AND toxic = 0) IS NOT NULL),
+hosts AS (SELECT host, domain, suffix, count(*) AS n, sum(good) AS good FROM labelled JOIN parts USING (host) GROUP BY ALL),
+overall AS (SELECT CASE WHEN count(*) > 0 THEN (sum(good) + 1) / (sum(n) + 2) ELSE 0.5 END::DOUBLE AS p FROM hosts),
+s1 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(p) AS mean FROM hosts, overall GROUP BY suffix),
+m1 AS {_strength("s1")},
+suffixes AS (SELECT suffix, (good + m * mean) / (n + m) AS own FROM s1, m1),
+s2 AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good, any_value(own) AS mean FROM hosts JOIN suffixes USING (suffix) GROUP BY ALL),
+m2 AS {_strength("s2")},
+domains AS (SELECT domain, (good + m * mean) / (n + m) AS own FROM s2, m2),
+s3 AS (SELECT host, n, good, own AS mean FROM hosts JOIN domains USING (domain)),
+m3 AS {_strength("s3")},
+host_bounds AS (SELECT host, {_bound("own", "(n + m)")} AS b FROM (SELECT host, n, m, (good + m * mean) / (n + m) AS own FROM s3, m3)),
+domain_bounds AS (SELECT domain, {_bound("own", "m")} AS b FROM domains, m3),
+suffix_bounds AS (SELECT suffix, {_bound("own", "m")} AS b FROM suffixes, m2),
+bounds AS (SELECT host, coalesce(h.b, d.b, s.b, {_bound("p", "m")}) AS b FROM parts LEFT JOIN host_bounds h USING (host)
+    LEFT JOIN domain_bounds d USING (domain) LEFT JOIN suffix_bounds s USING (suffix), overall, m1)
+SELECT page_id, host, path, {_rule()[0]} AS rule, coalesce({_rule()[1]}, CASE WHEN b >= {LEAST_GOOD} THEN 'allow' ELSE 'block' END) AS verdict
+FROM urls JOIN bounds USING (host)
+"""
+
 SQL: dict[str, str] = {
+    "op1_url_filter": _URL_FILTER,
     "op3_substring_dedup": _SUBSTRING_DEDUP,
     "op7_ngram_jaccard": _NGRAM_JACCARD,
     "op10_decontamination": _DECONTAMINATION,
