@@ -101,13 +101,22 @@ def document_confidence(docs: DataFrame, elements: DataFrame, tables: DataFrame,
     return whole.select("doc_id", F.coalesce(score, F.lit(0.0)).alias("confidence"))
 
 
-def pairs(elements: DataFrame, measure: str = "iou", above: float = 0.5) -> DataFrame:
-    """doc_id, page_number, a, b (ord), value for boxes of one page: an equi-join on the page and a range predicate."""
-    left = elements.where("x is not null").select(*PAGE, F.col("ord").alias("a"), box().alias("p"))
-    right = elements.where("x is not null").select(*PAGE, F.col("ord").alias("b"), box().alias("q"))
-    value = {"iou": G.iou, "overlap": G.overlap}[measure](F.col("p"), F.col("q"))
-    near = (F.col("a") < F.col("b")) & G.intersects(F.col("p"), F.col("q"))
-    return left.join(right, list(PAGE)).where(near & (value > above)).select(*PAGE, "a", "b", value.alias("value"))
+def pairs(elements: DataFrame, measure: str = "iou", above: float = 0.5, cell: float = 128.0) -> DataFrame:
+    """doc_id, page_number, a, b (ord), value for boxes of one page that meet and whose value is more than ``above`` (0 or more).
+
+    Boxes are joined by the cells of a grid that they lie on, so only neighbours are compared, and a full page is spread over
+    many keys. A pair counts in the cell of its shared area's first corner alone.
+    """
+    at = lambda v: F.floor(v / cell)
+    span = lambda p, n: F.explode(F.sequence(at(F.col(p)), at(F.col(p) + F.greatest(F.col(n), F.lit(0.0)))))
+    dealt = elements.where("x is not null").select(*PAGE, "ord", "x", "y", "w", "h", span("x", "w").alias("cx")).select("*", span("y", "h").alias("cy"))
+    left = dealt.select(*PAGE, "cx", "cy", F.col("ord").alias("a"), box().alias("p"))
+    right = dealt.select(*PAGE, "cx", "cy", F.col("ord").alias("b"), box().alias("q"))
+    p, q = F.col("p"), F.col("q")
+    value = {"iou": G.iou, "overlap": G.overlap}[measure](p, q)
+    first = (at(F.greatest(p["x"], q["x"])) == F.col("cx")) & (at(F.greatest(p["y"], q["y"])) == F.col("cy"))
+    near = (F.col("a") < F.col("b")) & first & G.intersects(p, q)
+    return left.join(right, [*PAGE, "cx", "cy"]).where(near & (value > above)).select(*PAGE, "a", "b", value.alias("value"))
 
 
 def suppress(elements: DataFrame, measure: str = "iou", above: float = 0.5, most: int | None = None) -> DataFrame:
