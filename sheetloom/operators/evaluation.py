@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Sequence
+from operator import eq, ne
+from typing import Any
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,64 +16,109 @@ from pyspark.sql.types import DoubleType, IntegerType
 from sheetloom.functions.text import words
 
 
-def cer(predicted: Column, reference: Column) -> Column:
-    return F.levenshtein(predicted, reference) / F.char_length(reference) * 100
+def _masks(items: Sequence) -> dict[Any, int]:
+    """For each item the places that hold it, as bits."""
+    places: dict[Any, bytearray] = {}
+    for k, x in enumerate(items):
+        if x not in places:
+            places[x] = bytearray(len(items) // 8 + 1)
+        places[x][k >> 3] |= 1 << (k & 7)
+    return {x: int.from_bytes(bits, "little") for x, bits in places.items()}
+
+
+def _edits(p: Sequence, r: Sequence) -> int:
+    """Edit distance. Items without a partner at any place are a lower bound, places that differ an upper one for
+    equal lengths; where these two are not equal, all places are aligned, a row of the table as bits of one integer."""
+    least = max(len(p), len(r)) - (Counter(p) & Counter(r)).total()
+    if not p or not r or (len(p) == len(r) and sum(map(ne, p, r)) == least):
+        return least
+    masks, last, full = _masks(r), len(r) - 1, (1 << len(r)) - 1
+    up, down, found = full, 0, len(r)
+    for x in p:
+        same = masks.get(x, 0)
+        zero = (((same & up) + up) ^ up) | same | down
+        more, less = (down | ~(zero | up)) & full, zero & up
+        found += (more >> last & 1) - (less >> last & 1)
+        more = more << 1 | 1
+        up, down = (less << 1 | ~(zero | more)) & full, zero & more & full
+    return found
+
+
+def _in_order(p: Sequence, r: Sequence) -> int:
+    """Length of the longest common subsequence, with bounds and bits as in ``_edits``."""
+    most = (Counter(p) & Counter(r)).total()
+    if sum(map(eq, p, r)) == most:
+        return most
+    masks, full = _masks(r), (1 << len(r)) - 1
+    row = full
+    for x in p:
+        hit = row & masks.get(x, 0)
+        row = (row + hit | row - hit) & full
+    return len(r) - row.bit_count()
+
+
+def _hits(p: list[str], r: list[str], n: int) -> int:
+    """n-grams in common, each as often as both have it."""
+    grams = lambda ws: Counter(zip(*(ws[k:] for k in range(n))))
+    return (grams(p) & grams(r)).total()
+
+
+def _rate(errors: int, of: int) -> float:
+    """Errors in percent of the reference; without one, 0 if nothing was predicted either, else 100."""
+    return errors / of * 100 if of else 100.0 * (errors > 0)
+
 
+def _words(text: str | None) -> list[str]:
+    return (text or "").split()  # white space as in functions.text.words
 
-def _code(word_ids: Column) -> Column:
-    """Word numbers as one character each, past the surrogates."""
-    at = lambda n: F.when(n < 0xD000, n + 0x100).otherwise(n + 0x1000)
-    return F.array_join(F.transform(word_ids, lambda n: F.decode(F.unhex(F.lpad(F.hex(at(n)), 8, "0")), "UTF-32")), "")
+
+@F.pandas_udf(DoubleType())
+def cer(predicted: pd.Series, reference: pd.Series) -> pd.Series:
+    """Character error rate in percent; null counts as empty."""
+    return pd.Series([_rate(_edits(p or "", r or ""), len(r or "")) for p, r in zip(predicted, reference)], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def word_error_rate(predicted: pd.Series, reference: pd.Series) -> pd.Series:
+    both = ((_words(p), _words(r)) for p, r in zip(predicted, reference))
+    return pd.Series([_rate(_edits(p, r), len(r)) for p, r in both], dtype=float)
 
 
 def wer(pairs: DataFrame, predicted: str = "predicted", reference: str = "reference", out: str = "wer") -> DataFrame:
-    """Word error rate in percent: each word of the pair becomes one character, then edit distance."""
-    p, r = words(F.col(predicted)), words(F.col(reference))
-    known = F.array_distinct(F.concat(p, r))
-    code = lambda ws: _code(F.transform(ws, lambda w: F.array_position(known, w).cast("int")))
-    return pairs.withColumn(out, F.levenshtein(code(p), code(r)) / F.size(r) * 100)
+    """Word error rate in percent; null counts as empty."""
+    return pairs.withColumn(out, word_error_rate(predicted, reference))
 
 
-def ngrams(ws: Column, n: int) -> Column:
-    return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.array().cast("array<string>"))
+@F.pandas_udf(DoubleType())
+def unigram_recall(predicted: pd.Series, reference: pd.Series) -> pd.Series:
+    both = ((_words(p), _words(r)) for p, r in zip(predicted, reference))
+    return pd.Series([_hits(p, r, 1) / len(r) if r else 0.0 for p, r in both], dtype=float)
 
 
-def matched(pairs: DataFrame, n: int, key: str, predicted: str = "predicted", reference: str = "reference") -> DataFrame:
-    """key, hits, n_predicted, n_reference: n-grams in common, each as often as both have it."""
-    of = lambda c, side: pairs.select(key, F.explode(ngrams(words(F.col(c)), n)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias(side))
-    both = of(predicted, "p").join(of(reference, "r"), [key, "gram"], "full").na.fill(0, ["p", "r"])
-    return both.groupBy(key).agg(F.sum(F.least("p", "r")).alias("hits"), F.sum("p").alias("n_predicted"), F.sum("r").alias("n_reference"))
+def rouge1(pairs: DataFrame, key: str, predicted: str = "predicted", reference: str = "reference") -> DataFrame:
+    """A row for every pair; 0 without words in the reference."""
+    return pairs.select(key, unigram_recall(predicted, reference).alias("rouge1"))
 
 
-def rouge1(pairs: DataFrame, key: str, **columns: str) -> DataFrame:
-    return matched(pairs, 1, key, **columns).select(key, F.coalesce(F.try_divide("hits", "n_reference"), F.lit(0.0)).alias("rouge1"))
+def bleu(pairs: DataFrame, key: str, n: int = 4, predicted: str = "predicted", reference: str = "reference") -> DataFrame:
+    """Geometric mean of 1- to n-gram precision with brevity penalty; 0 if any precision is. A row for every pair."""
 
+    @F.pandas_udf(DoubleType())
+    def precision(predicted: pd.Series, reference: pd.Series) -> pd.Series:
+        out = []
+        for p, r in zip(map(_words, predicted), map(_words, reference)):
+            shares = [_hits(p, r, k) / (len(p) - k + 1) if len(p) >= k else 0.0 for k in range(1, n + 1)]
+            out.append(math.exp(sum(map(math.log, shares)) / n + min(0.0, 1 - len(r) / len(p))) if min(shares) > 0 else 0.0)
+        return pd.Series(out, dtype=float)
 
-def bleu(pairs: DataFrame, key: str, n: int = 4, **columns: str) -> DataFrame:
-    """Geometric mean of 1- to n-gram precision with brevity penalty; 0 if any precision is."""
-    found = None
-    for k in range(1, n + 1):
-        one = matched(pairs, k, key, **columns).select(key, F.try_divide("hits", "n_predicted").alias(f"p{k}"), *([F.col("n_predicted"), F.col("n_reference")] if k == 1 else []))
-        found = one if found is None else found.join(one, key, "left")
-    precisions = [F.coalesce(f"p{k}", F.lit(0.0)) for k in range(1, n + 1)]
-    mean = F.when(F.least(*precisions) > 0, F.exp(sum((F.log(p) for p in precisions), F.lit(0.0)) / n)).otherwise(0.0)
-    short = F.when(F.col("n_predicted") >= F.col("n_reference"), 1.0).otherwise(F.exp(1 - F.try_divide("n_reference", "n_predicted")))
-    return found.select(key, F.coalesce(mean * short, F.lit(0.0)).alias("bleu"))
+    return pairs.select(key, precision(predicted, reference).alias("bleu"))
 
 
 @F.pandas_udf(DoubleType())
 def rouge_l(predicted: pd.Series, reference: pd.Series) -> pd.Series:
     """F-measure of the longest common subsequence of words."""
-    out = []
-    for p, r in zip(predicted, reference):
-        p, r = (p or "").split(), (r or "").split()
-        row = [0] * (len(r) + 1)
-        for a in p:
-            before = 0
-            for j, b in enumerate(r, 1):
-                before, row[j] = row[j], before + 1 if a == b else max(row[j], row[j - 1])
-        out.append(2 * row[-1] / (len(p) + len(r)) if p or r else 0.0)
-    return pd.Series(out)
+    both = ((_words(p), _words(r)) for p, r in zip(predicted, reference))
+    return pd.Series([2 * _in_order(p, r) / (len(p) + len(r)) if p or r else 0.0 for p, r in both], dtype=float)
 
 
 @F.pandas_udf(DoubleType())

@@ -61,3 +61,9 @@ def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = _PAIRS.format(ascii="char_length(text) = octet_length(text)")
     return _view(spark, sf_dir, sql.replace("FROM documents", "FROM {documents}"), "documents")
+
+
+def whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's whole text, null as empty, in any language; without SQL, whose ``pairs`` are prefixes of English ASCII texts."""
+    sql = "SELECT doc_id, coalesce(text, '') AS reference, translate(coalesce(text, ''), 'ol', '01') AS predicted FROM {documents}"
+    return _view(spark, sf_dir, sql, "documents")

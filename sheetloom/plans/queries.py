@@ -12,7 +12,7 @@ from sheetloom.functions.catalogue import Catalogue
 from sheetloom.operators import elements as E
 from sheetloom.operators import evaluation as V
 from sheetloom.operators import patterns as P
-from sheetloom.plans.inputs import ELEMENTS_SQL, PAIRS_SQL, SPECS_SQL, elements, pairs, specs
+from sheetloom.plans.inputs import ELEMENTS_SQL, PAIRS_SQL, SPECS_SQL, elements, pairs, specs, whole_pairs
 from sheetloom.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -311,12 +311,33 @@ def rouge1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.bleu(pairs(spark, sf_dir), "doc_id").withColumn("bleu", F.round("bleu", 6))
+    return V.bleu(whole_pairs(spark, sf_dir), "doc_id").withColumn("bleu", F.round("bleu", 6))
 
 
 @query()
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select("doc_id", V.rouge_l("predicted", "reference").alias("rouge_l"))
+    return whole_pairs(spark, sf_dir).select("doc_id", V.rouge_l("predicted", "reference").alias("rouge_l"))
+
+
+@query()
+def documents_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole_pairs(spark, sf_dir).select("doc_id", F.round(V.cer("predicted", "reference"), 6).alias("cer"))
+
+
+@query()
+def documents_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.wer(whole_pairs(spark, sf_dir)).select("doc_id", F.round("wer", 6).alias("wer"))
+
+
+@query()
+def documents_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = V.wer(whole_pairs(spark, sf_dir)).withColumn("cer", V.cer("predicted", "reference"))
+    return both.select("doc_id", V.grade(F.col("cer"), F.col("wer")).alias("grade"))
+
+
+@query()
+def documents_rouge1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.rouge1(whole_pairs(spark, sf_dir), "doc_id").withColumn("rouge1", F.round("rouge1", 6))
 
 
 @query("SELECT CAST(least(floor(a * 18 / 180), 17) AS int) AS bin, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT abs(value) % 180 AS a FROM events WHERE value IS NOT NULL) GROUP BY ALL")

@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from sheetloom.operators import elements as E
 from sheetloom.operators import evaluation as V
 from sheetloom.operators import patterns as P
 from sheetloom.plans.pipeline import Config, Pipeline
+from sheetloom.plans.queries import QUERIES
 from sheetloom.sources import files, sinks
 
 ELEMENTS = "doc_id long, page_number int, ord long, text string, element_type string, confidence double, x double, y double, w double, h double"
@@ -166,3 +168,44 @@ def test_pipeline_config_and_stream(spark, tmp_path, sf_dir):
     for _ in range(2):
         process(spark, str(tmp_path / "in"), docs.schema, str(tmp_path / "out"), str(tmp_path / "state"), pipeline)
     assert spark.read.parquet(str(tmp_path / "out")).select("doc_id").distinct().count() == spark.read.parquet(str(tmp_path / "in")).where("doc_id < 5").count()
+
+
+def test_evaluation_reads_every_whole_document(spark, tmp_path):
+    texts = [(1, "x " * 400 + "lol", "en"), (2, "größe ohne plan o", "de"), (3, None, "en"), (4, "", None), (5, "0l lO 10 o0 00", "fr"), (6, "oo 0 o", "en")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {n: {r[0]: r[1] for r in QUERIES[n](spark, str(tmp_path)).collect()} for n in ("documents_cer", "documents_wer", "documents_grade", "documents_rouge1", "bleu", "rouge_l")}
+
+    def edits(p, r):
+        row = list(range(len(r) + 1))
+        for i, a in enumerate(p, 1):
+            before, row[0] = row[0], i
+            for j, b in enumerate(r, 1):
+                before, row[j] = row[j], min(before + (a != b), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    for k, t, _ in texts:
+        r = t or ""
+        p = r.translate(str.maketrans("ol", "01"))
+        rate = lambda a, b: round(100 * edits(a, b) / len(b), 6) if b else 0.0
+        c, w = rate(p, r), rate(p.split(), r.split())
+        assert (got["documents_cer"][k], got["documents_wer"][k]) == (c, w)
+        assert got["documents_grade"][k] == ("EXCELLENT" if c <= 2 and w <= 5 else "GOOD" if c <= 5 and w <= 10 else "MODERATE" if c <= 10 and w <= 20 else "POOR")
+        common = sum((Counter(p.split()) & Counter(r.split())).values())
+        assert got["documents_rouge1"][k] == (round(common / len(r.split()), 6) if r.split() else 0.0)
+    assert all(len(rows) == len(texts) for rows in got.values())
+    assert got["rouge_l"][1] == 400 / 401 and got["bleu"][1] > 0.99 and got["bleu"][4] == 0
+
+
+def test_bounds_and_bits_align_as_the_whole_table_does():
+    import random
+
+    rng = random.Random(7)
+    for _ in range(500):
+        p, r = ("".join(rng.choice("abc") for _ in range(rng.randrange(0, 90))) for _ in "pr")
+        row, length = list(range(len(r) + 1)), [0] * (len(r) + 1)
+        for i, a in enumerate(p, 1):
+            before, row[0], last = row[0], i, 0
+            for j, b in enumerate(r, 1):
+                before, row[j] = row[j], min(before + (a != b), row[j] + 1, row[j - 1] + 1)
+                last, length[j] = length[j], last + 1 if a == b else max(length[j], length[j - 1])
+        assert (V._edits(p, r), V._in_order(p, r)) == (row[-1], length[-1])
