@@ -26,8 +26,8 @@ from sheetloom.llm import words as W
 from sheetloom.llm.exchange import ask, bucket_count, figures, packed, rows_of, texts_of, told, unpack, with_answers
 from sheetloom.llm.shared import only
 
-#: Two words: the disk that the check tool grants holds the keys of pairs of words, not those of three as well.
-ORDER = 2
+#: Of the query; a smaller model is one of fewer words of context.
+ORDER = 3
 _BEGIN, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 SCHEMA = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -129,7 +129,7 @@ def _discounts(s: np.ndarray) -> np.ndarray:
     return np.array([0, 0.5, 1.0, 1.5])
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, parts: int = 10) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, parts: int = 10) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     Trained on the rows for which ``held_out(id, parts)`` is false. Tokens are lower-cased (A-Z) words without ASCII

@@ -31,7 +31,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.score(_read(spark, sf_dir, "documents"))
+    return ngram_lm.score(_read(spark, sf_dir, "documents"), order=ngram_lm.ORDER)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
