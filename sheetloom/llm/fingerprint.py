@@ -94,11 +94,13 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Fingerprints of all texts and of texts whose second half is taken from the next document."""
+    """Fingerprints of all texts, the group of each among all, and fingerprints of texts whose second half is taken from the next document."""
     pairs = with_next(docs.select("doc_id", "text")).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
     texts = pairs.withColumn("edited", edited).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("c"), canonical(F.col("edited")).alias("e"), canonical(F.col("next_text")).alias("x"))
     prints = texts.select("*", fingerprint(F.col("c")).alias("fingerprint"), fingerprint(F.col("e")).alias("edited_fingerprint"), fingerprint(F.col("x")).alias("_next"))
     like = lambda mark, text: likeness(F.col("fingerprint"), F.col(mark), F.col("c"), F.col(text))
-    return prints.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint", "e").alias("near_edited"), like("_next", "x").alias("near_next"))
+    named = groups(docs).groupBy(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_print")).agg(F.min("group_id").alias("group_id"))
+    found = prints.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint", "e").alias("near_edited"), like("_next", "x").alias("near_next"))
+    return found.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fingerprint") == F.col("_print")), "left").drop("_id", "_print")
