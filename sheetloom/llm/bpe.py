@@ -74,7 +74,7 @@ def _encoding(path: str) -> tiktoken.Encoding:
 
 
 @lru_cache
-def _pattern() -> regex.Pattern:
+def pattern() -> regex.Pattern:
     return regex.compile(public_tokenizers.PATTERN)
 
 
@@ -84,7 +84,7 @@ def stretches(text: str, most: int = STRETCH) -> Iterator[str]:
         yield text
         return
     lo = 0
-    for match in _pattern().finditer(text):
+    for match in pattern().finditer(text):
         if match.end() - lo >= most:
             yield text[lo : match.end()]
             lo = match.end()

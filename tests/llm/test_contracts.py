@@ -252,26 +252,47 @@ def test_language_id_is_right_on_held_out_rows(spark, sf_dir):
 def test_token_store(docs, spark, tmp_path):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
-    coded = [(-(2**63) if i is None else i, struct.pack("<%dI" % (len(ids) + 1), *ids, 0)) for i, t in pairs(docs) for ids in [tokenizer.encode(t or "", add_special_tokens=False).ids]]
+    coded = [(i, struct.pack("<%dI" % (len(ids) + 1), *ids, 0)) for i, t in pairs(docs) for ids in [tokenizer.encode(t or "", add_special_tokens=False).ids]]
     expected, start = [], 0
-    for i, raw in sorted(coded, key=lambda x: (x[0], struct.pack(f"<{len(x[1]) // 4}H", *struct.unpack(f"<{len(x[1]) // 4}I", x[1])))):
-        expected.append((None if i == -(2**63) else i, start, len(raw) // 4, zlib.crc32(raw)))
+    for i, raw in sorted(coded, key=lambda x: (x[0] is not None, x[0], struct.pack(f"<{len(x[1]) // 4}H", *struct.unpack(f"<{len(x[1]) // 4}I", x[1])))):
+        expected.append((i, start, len(raw) // 4, zlib.crc32(raw)))
         start += len(raw) // 4
     assert rows(token_store.digest(docs), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(expected, key=repr)
 
 
-def test_token_store_answers_from_the_files(spark, tmp_path, monkeypatch):
-    docs = spark.createDataFrame([(i, f"the cat number {i % 7}") for i in range(50)], "doc_id long, text string")
+def test_pieces_encode_as_whole_texts_do():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["", " ", "a", "don't we'll 'S ''s", "x1y22 3.14,000; (a)--b__c", "ªº µm İı ǅ ꙮ", "tab\tnew\n\n line \x1c\x85\u00a0 end ", "Größe, naïve Čapek’s", "a" * 300 + " " + "é" * 200, "語の 文章、 e\u0301 🙂🙂 ok", "<|endoftext|> x"]
+    pieces, _ = token_store._tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    for _ in range(2):  # the second time from what is kept
+        assert [list(struct.unpack(f"<{len(x) // 2}H", x)) for x in pieces(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids if "<|" not in t else list(struct.unpack(f"<{len(x) // 2}H", x)) for t, x in zip(texts, pieces(texts))]
+
+
+def test_token_store_answers_from_the_files(spark, tmp_path):
+    docs = spark.createDataFrame([(i if i else -(2**63), f"the cat number {i % 7}") for i in range(50)] + [(None, "no id")], "doc_id long, text string")
     folder = str(tmp_path / "store")
-    token_store.write_tokens(docs, folder, shards=3)
+    token_store.write_tokens(docs, folder, shards=3, most=20)
     back = token_store.read_tokens(spark, folder).collect()
+    assert {r["doc_id"] for r in back} == {None, -(2**63), *range(1, 50)}
     every = [i for r in sorted(back, key=lambda r: r["start"]) for i in struct.unpack(f"<{r['n_tokens']}I", r["ids"])]
-    for token in {*every, 77}:
-        assert token_store.count_token(spark, folder, token).agg(F.sum("n")).first()[0] == every.count(token)
-        break
+    counts = {token: token_store.count_token(spark, folder, token).groupBy("shard").agg(F.sum("n")).collect() for token in (every[0], 77)}
+    assert {t: sum(n for _, n in by) for t, by in counts.items()} == {t: every.count(t) for t in counts}
+    sizes = {r[0]: r[1] for r in spark.read.schema(token_store.FILES).parquet(folder).groupBy("shard").agg(F.sum("n_tokens")).collect()}
+    assert len(sizes) == 3
+    first = sizes[0]
+    own = every[first : first + sizes[1]]  # the second shard
+    places = [0, 1, sizes[1] // 2, sizes[1] - 1]
+    assert token_store.tokens_at(spark, folder, 1, [*places, sizes[1]]) == {p: own[p] for p in places}
+    found = [k for k, t in enumerate(own) if t == own[0]]
+    assert len(found) > 2 and [token_store.occurrence(spark, folder, 1, own[0], k) for k in (0, len(found) - 1, len(found), -1)] == [found[0], found[-1], -1, -1]
+
+
+def test_token_store_wants_integers(spark):
+    with pytest.raises(TypeError):
+        token_store.digest(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
-@pytest.mark.parametrize("n", [0, 1, 7, 512, 513, 5000])
+@pytest.mark.parametrize("n", [0, 1, 7, 512, 513, 5000, 300_000])
 def test_wavelet_matrix(n):
     import numpy as np
 
