@@ -11,6 +11,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -72,6 +73,31 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in columns])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that ``df`` does not have, by the resolver's blindness to case."""
+    have = {c.lower() for c in df.columns}
+    while f"_{name}".lower() in have:
+        name += "_"
+    return f"_{name}"
+
+
+#: Keys that ``meet`` broadcasts at most.
+HOT = 4096
+
+
+def meet(rows: DataFrame, per_key: DataFrame, key: str, m: str = "m") -> DataFrame:
+    """``rows`` left-joined with ``per_key``, which has one small row for a key and ``m``, how many of ``rows`` have it.
+
+    A key that more than the 4096th part of the rows have is hot; there are fewer than 4096 of those, so they are
+    broadcast and their rows stay where they are. No task of the shuffled rest gets a larger share for one key.
+    ``rows`` and ``per_key`` should be written tables, as they are read more than once.
+    """
+    total = per_key.agg(F.sum(m)).first()[0] or 0
+    hot = F.broadcast(per_key.where(F.col(m) > total // HOT))
+    cold = per_key.where(F.col(m) <= total // HOT)
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key, "left"))
+
+
 _held: tuple[str, Any, Any] | None = None
 
 
