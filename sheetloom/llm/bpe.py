@@ -5,65 +5,109 @@ No match of the splitting pattern goes over such a boundary and none looks behin
 apart exactly as they do together. That keeps long texts linear, and a worker keeps the ids of pieces
 that it has seen. A longer stretch without such a boundary is cut between matches of the pattern.
 
-Defined cases: null or empty text has no ids; special tokens are ordinary text; repeated rows encode alike.
+Defined cases: null or empty text has no ids; special tokens are ordinary text; repeated rows encode alike; very long texts
+are encoded whole; an empty table stays empty; further columns are kept, and one that has the name of a result is replaced.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetloom.llm.shared import held
+from sheetloom.llm.shared import held, unused
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-_UNSAFE = re.compile(r"\s ")
-_SAFE = re.compile(r"(?<=\S) ")
+#: White space before a space, in RE2 and for ``regex``: every class of it, and the separators that only some count.
+_UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+_SAFE = regex.compile(r"(?<![\s\x0b\x1c-\x1f]) ")
 #: Pieces whose ids a worker keeps: about 30 MB.
 KNOWN = 200_000
-#: Rows that are encoded at once.
-ROWS = 500
+#: Bytes of text that are encoded at once.
+CHUNK = 16 << 20
 #: Characters of a stretch without safe boundary that are encoded at once.
 STRETCH = 1 << 16
 
 
 class Pieces:
     """Encodes texts piece by piece. ``encode`` maps strings to their ids as bytes; the ids of pieces of up to
-    64 characters are kept, ``limit`` pieces at most."""
+    64 characters are kept, of ``limit`` pieces at most: those met last."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = KNOWN):
         self.encode, self.limit = encode, limit
         self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        heads, tails = [], []
-        for t in texts:
-            head, *tail = _SAFE.split(t) if _UNSAFE.search(t) else t.split(" ")
-            heads.append(head)
-            tails.append(tail)
-        known = self.known
-        new = list(set().union(*tails).difference(known))
-        here = dict(zip(new, self.encode([" " + x for x in new])))
-        if len(known) < self.limit:
-            known.update((k, v) for k, v in here.items() if len(k) <= 64)
-        starts = self.encode(heads)
-        out = []
-        for head, tail in zip(starts, tails):
-            try:
-                out.append(head + b"".join(map(known.__getitem__, tail)))
-            except KeyError:
-                out.append(head + b"".join([known.get(x) or here[x] for x in tail]))
-        return out
+        self.older: dict[str, bytes] = {}
+
+    def ids(self, pieces: list[str]) -> list[bytes]:
+        """Of distinct pieces."""
+        found = list(map(self.known.get, pieces))
+        new = []
+        for k, x in enumerate(found):
+            if x is None:
+                found[k] = x = self.older.get(pieces[k])
+                if x is None:
+                    new.append(k)
+                else:
+                    self.known[pieces[k]] = x
+        for k, x in zip(new, self.encode([pieces[k] for k in new])):
+            found[k] = x
+            if len(pieces[k]) <= 64:
+                self.known[pieces[k]] = x
+        if len(self.known) > self.limit // 2:
+            self.older, self.known = self.known, {}
+        return found
+
+    def __call__(self, texts: pa.Array, end: bytes = b"") -> Iterator[pa.Array]:
+        """Binary arrays with the ids of the texts in order, each text closed by ``end``."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < len(texts):
+            done = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, done + CHUNK, side="right")))
+            yield self._chunk(pc.fill_null(texts.slice(lo, hi - lo), ""), end)
+            lo = hi
+
+    def _chunk(self, texts: pa.Array, end: bytes) -> pa.Array:
+        n = len(texts)
+        unsafe = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
+        pieces = pc.split_pattern(texts, " ")
+        if unsafe.any():
+            cut = pa.array([_SAFE.split(t) for t in texts.filter(pa.array(unsafe)).to_pylist()], pieces.type)
+            order = np.arange(n)
+            order[unsafe] = n + np.arange(int(unsafe.sum()))
+            pieces = pa.concat_arrays([pieces, cut]).take(pa.array(order))
+        coded = pieces.flatten().dictionary_encode()
+        at = coded.indices.to_numpy().astype(np.int64)
+        first = pieces.offsets.to_numpy().astype(np.int64)
+        first = first - first[0]
+        # the first piece of a text has no space before it
+        heads = coded.dictionary.take(coded.indices.take(pa.array(first[:-1]))).to_pylist()
+        tail = np.ones(len(at), dtype=bool)
+        tail[first[:-1]] = False
+        used = np.zeros(len(coded.dictionary), dtype=bool)
+        used[at[tail]] = True
+        own = np.cumsum(used) - 1
+        tails = [" " + x for x in coded.dictionary.filter(pa.array(used)).to_pylist()]
+        at = own[at]
+        ids = self.ids(tails)
+        at[first[:-1]] = len(ids) + np.arange(n)
+        distinct = dict.fromkeys(heads)
+        distinct = dict(zip(distinct, self.ids(list(distinct))))
+        if end:
+            at = np.insert(at, first[1:], len(ids) + n)
+            first = first + np.arange(n + 1)
+        taken = pa.array([*ids, *map(distinct.__getitem__, heads), end], pa.binary()).take(pa.array(at))
+        places = np.frombuffer(taken.buffers()[1], dtype=np.int32)[: len(at) + 1][first]
+        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(places), taken.buffers()[2]])
 
 
 @lru_cache(maxsize=2)
@@ -112,27 +156,37 @@ def encode(df: DataFrame, text_col: str = "text", out: str = "ids", path: str |
     """
     path = rank_file(path)
 
-    @F.pandas_udf("binary")
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series([x for lo in range(0, len(texts), ROWS) for x in _pieces(path)(texts[lo : lo + ROWS].tolist())], dtype=object)
+    @F.arrow_udf("binary")
+    def ids(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([], pa.binary()), *_pieces(path)(texts)])
 
-    return df.withColumn(out, ids(F.coalesce(df[f"`{text_col}`"], F.lit(""))))
+    return _with(df, **{out: ids(df[f"`{text_col}`"])})
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
     """``df`` with the bytes that the ids stand for, not read as any character set, in the binary column ``out``."""
     path = rank_file(path)
 
-    @F.pandas_udf("binary")
-    def raw(ids: pd.Series) -> pd.Series:
-        back = _encoding(path).decode_bytes
-        return pd.Series([back(np.frombuffer(x or b"", dtype="<u4").tolist()) for x in ids], dtype=object)
+    @F.arrow_udf("binary")
+    def raw(ids: pa.Array) -> pa.Array:
+        return _bytes(path, ids)
+
+    return _with(df, **{out: raw(df[f"`{ids_col}`"])})
+
+
+def _bytes(path: str, ids: pa.Array) -> pa.Array:
+    back = _encoding(path).decode_bytes
+    return pa.array([back(np.frombuffer(x or b"", dtype="<u4").tolist()) for x in ids.to_pylist()], pa.binary())
+
 
-    return df.withColumn(out, raw(df[f"`{ids_col}`"]))
+def _with(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with these columns last, in place of its own of the same names."""
+    kept = [df[f"`{c}`"] for c in df.columns if c not in columns]
+    return df.select(*kept, *[c.alias(name) for name, c in columns.items()])
 
 
 def round_trip(df: DataFrame, text_col: str = "text", ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:
-    """``df`` with the columns that ``encode`` and then ``decode`` give, by one worker that takes ``ROWS`` texts at a time.
+    """``df`` with the columns that ``encode`` and then ``decode`` give, by one worker that takes ``CHUNK`` bytes at a time.
 
     Ids of one step after the other would hold two workers' tables and the batches between them in each executor core.
     """
@@ -140,18 +194,15 @@ def round_trip(df: DataFrame, text_col: str = "text", ids: str = "ids", decoded:
 
     @F.arrow_udf("ids binary, decoded binary")
     def both(texts: pa.Array) -> pa.Array:
-        pieces, back, coded, raw = _pieces(path), _encoding(path).decode_bytes, [], []
-        for lo in range(0, len(texts), ROWS):
-            found = pieces(texts.slice(lo, ROWS).to_pylist())
-            coded.append(pa.array(found, pa.binary()))
-            raw.append(pa.array([back(np.frombuffer(x, dtype="<u4").tolist()) for x in found], pa.binary()))
-        if not coded:
-            return pa.array([], pa.struct([("ids", pa.binary()), ("decoded", pa.binary())]))
+        coded, raw = [pa.array([], pa.binary())], [pa.array([], pa.binary())]
+        for found in _pieces(path)(texts):
+            coded.append(found)
+            raw.append(_bytes(path, found))
         return pa.StructArray.from_arrays([pa.concat_arrays(coded), pa.concat_arrays(raw)], names=["ids", "decoded"])
 
-    kept = [df[f"`{c}`"] for c in df.columns if c not in (ids, decoded)]
-    coded = df.select(*kept, both(F.coalesce(df[f"`{text_col}`"], F.lit(""))).alias("_coded"))
-    return coded.select("*", F.col("_coded.ids").alias(ids), F.col("_coded.decoded").alias(decoded)).drop("_coded")
+    name = unused(df, "coded")
+    coded = df.select("*", both(df[f"`{text_col}`"]).alias(name))
+    return _with(coded, **{ids: F.col(f"{name}.ids"), decoded: F.col(f"{name}.decoded")}).drop(name)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ import os
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,7 +43,7 @@ _BLOCK = 512  # bits that one entry of the directory covers
 _PART = 1 << 15  # bytes of a plane that are compressed together, a multiple of the directory's blocks
 _MAGIC = b"WVM2"
 #: Runs of letters, digits or signs whose ids a worker keeps.
-RUNS = 500_000
+RUNS = 400_000
 FILES = "shard int, segment int, start long, n_tokens long, n_docs long, data binary"
 
 
@@ -236,14 +237,14 @@ def _tokenizer(path: str) -> tuple[Pieces, int]:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     size = tokenizer.get_vocab_size(with_added_tokens=True)
-    kind = "<u2" if size <= 1 << 16 else "<u4"
+    kind, code = ("<u2", "H") if size <= 1 << 16 else ("<u4", "I")
     model, names, runs = tokenizer.model, _byte_names(), pattern().findall
     known: dict[str, bytes] = {}
 
     def run(text: str) -> bytes:
         got = known.get(text)
         if got is None:
-            got = np.array([t.id for t in model.tokenize(text.encode().decode("latin-1").translate(names))], dtype=kind).tobytes()
+            got = array(code, [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(names))]).tobytes()
             if len(known) < RUNS and len(text) <= 64:
                 known[text] = got
         return got
@@ -262,7 +263,7 @@ def _tokenizer(path: str) -> tuple[Pieces, int]:
             out[k] = np.array(x.ids, dtype=kind).tobytes()
         return out
 
-    return Pieces(ids, 1_000_000), size
+    return Pieces(ids, 600_000), size
 
 
 def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, shards: int | None = None, most: int = SEGMENT) -> None:
@@ -284,13 +285,12 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, _ = _tokenizer(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                ids = part.column("id")
+            lo = 0
+            for tokens in pieces(batch.column("text"), bytes(_width(path))):
+                ids = batch.column("id").slice(lo, len(tokens))
                 shard = np.searchsorted(splits, pc.fill_null(ids, -(2**63)).to_numpy(), side="right")
-                tokens = pieces([t or "" for t in part.column("text").to_pylist()])
-                end = bytes(_width(path))
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, pa.array([t + end for t in tokens], pa.binary())], names=["shard", "id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, tokens], names=["shard", "id", "ids"])
+                lo += len(tokens)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, bits = ("<u2" if _width(path) == 2 else "<u4"), max(1, (_tokenizer(path)[1] - 1).bit_length())
