@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,14 +32,16 @@ LANGUAGE_TERMS: dict[str, list[str]] = {
     "safety": ["safety", "hazard", "warning", "caution", "protection", "emergency"],
     "instructional": ["shall", "should", "must", "required", "ensure", "verify"],
 }
-ENGINEERING_TERMS = [
-    *["IBC", "OBC", "NFPA", "ASTM", "AISI", "ANSI", "AWS", "AISC"],
-    *["Grade", "gauge", "steel", "concrete", "aluminum", "wood"],
-    *["SF", "ft", "in", "mm", "psf", "PSF", "ksi", "MPa"],
-    *["ASCE", "AWS", "AISC", "TMS", "ANSI", "UL", "FM"],
-    *["sprinkler", "NFPA", "fire", "rating", "resistance"],
-    *["beam", "column", "joist", "truss", "foundation", "footing"],
-]
+ENGINEERING_TERMS: dict[str, list[str]] = {
+    "codes": ["IBC", "OBC", "NFPA", "ASTM", "AISI", "ANSI", "AWS", "AISC"],
+    "materials": ["Grade", "gauge", "steel", "concrete", "aluminum", "wood"],
+    "units": ["SF", "ft", "in", "mm", "psf", "PSF", "ksi", "MPa"],
+    "standards": ["ASCE", "AWS", "AISC", "TMS", "ANSI", "UL", "FM"],
+    "fire": ["sprinkler", "NFPA", "fire", "rating", "resistance"],
+    "structure": ["beam", "column", "joist", "truss", "foundation", "footing"],
+}
+#: Patterns whose occurrences speak five times for a specification.
+TYPE_PATTERNS = (r"section\s+\d+", r"division\s+\d+")
 FLAGS = {
     "has_technical_drawings": r"elevation|plan|section|detail|drawing",
     "has_specifications": r"specification|astm|section \d+",
@@ -55,39 +60,41 @@ STRUCTURE = {
 }
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where generated code would repeat it for every use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def present(lowered: Column, terms: list[str]) -> Column:
     """How many of the terms occur in the text, however often."""
     return sum((F.contains(lowered, F.lit(t)).cast("int") for t in terms), F.lit(0))
 
 
 def first_best(scores: list[tuple[str, Column]], default: str) -> Column:
-    """The name of the highest positive score, the first among equals."""
-    top = F.greatest(*[s for _, s in scores])
-    best = F.lit(default)
-    for name, score in reversed(scores):
-        best = F.when(score == top, name).otherwise(best)
-    return F.when(top > 0, best).otherwise(default)
+    """The name of the highest positive score, the first among equals. Each score is computed once."""
+    candidate = lambda score, place, name: F.struct(score.cast("int").alias("score"), F.lit(place).alias("place"), F.lit(name).alias("name"))
+    return F.array_max(F.array(candidate(F.lit(0), 1, default), *[candidate(score, -k, name) for k, (name, score) in enumerate(scores)]))["name"]
 
 
 def document_type(text: Column) -> Column:
-    low = F.lower(text)
-    scores = []
-    for name, terms in TYPE_TERMS.items():
-        score = present(low, terms)
-        if name == "construction_specification":
-            score = score + 5 * (F.regexp_count(low, F.lit(r"section\s+\d+")) + F.regexp_count(low, F.lit(r"division\s+\d+")))
-        scores.append((name, score))
-    return first_best(scores, "general")
+    def best(low: Column) -> Column:
+        scores = []
+        for name, terms in TYPE_TERMS.items():
+            score = present(low, terms)
+            if name == "construction_specification":
+                score = score + 5 * sum((F.regexp_count(low, F.lit(p)) for p in TYPE_PATTERNS), F.lit(0))
+            scores.append((name, score))
+        return first_best(scores, "general")
+
+    return bound(F.lower(text), best)
 
 
 def complexity(text: Column) -> Column:
-    low = F.lower(text)
-    return first_best([(name, weight * present(low, terms)) for name, (weight, terms) in COMPLEXITY_TERMS.items()], "simple")
+    return bound(F.lower(text), lambda low: first_best([(name, weight * present(low, terms)) for name, (weight, terms) in COMPLEXITY_TERMS.items()], "simple"))
 
 
 def language_indicators(text: Column) -> Column:
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(present(low, terms) > 0, name) for name, terms in LANGUAGE_TERMS.items()]))
+    return bound(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(present(low, terms) > 0, name) for name, terms in LANGUAGE_TERMS.items()])))
 
 
 def words(text: Column) -> Column:
@@ -95,20 +102,25 @@ def words(text: Column) -> Column:
 
 
 def technical_density(text: Column) -> Column:
-    """Occurrences of terms inside words, per word; a term that is listed twice counts twice."""
-    own = words(F.lower(text))
+    """Occurrences of terms inside words, per word; a term that is listed twice counts twice. One pass over the words."""
+    weights = Counter(t.lower() for terms in ENGINEERING_TERMS.values() for t in terms)
+
+    def add(seen: Column, word: Column) -> Column:
+        hits = sum((n * F.contains(word, F.lit(t)).cast("int") for t, n in weights.items()), F.lit(0))
+        return F.when(word == "", seen).otherwise(F.struct((seen["n"] + 1).alias("n"), (seen["hits"] + hits).alias("hits")))
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("hits"))
+    density = lambda seen: F.when(seen["n"] > 0, seen["hits"] / seen["n"]).otherwise(0.0)
+    return F.aggregate(F.split(F.lower(text), r"(?U)[\s\x1c-\x1f]+"), start, add, density)
 
-    def holding(term: str) -> Column:
-        return F.size(F.filter(own, lambda w: F.contains(w, F.lit(term.lower()))))
 
-    hits = sum(map(holding, ENGINEERING_TERMS), F.lit(0))
-    return F.when(F.size(own) > 0, hits / F.size(own)).otherwise(0.0)
+def flags(text: Column) -> dict[str, Column]:
+    return {name: F.lower(text).rlike(pattern) for name, pattern in FLAGS.items()}
 
 
 def characteristics(text: Column) -> Column:
-    low = F.lower(text)
-    flags = [low.rlike(pattern).alias(name) for name, pattern in FLAGS.items()]
-    return F.struct(*flags, complexity(text).alias("document_complexity"), language_indicators(text).alias("language_indicators"), technical_density(text).alias("technical_density"))
+    own = [c.alias(name) for name, c in flags(text).items()]
+    return F.struct(*own, complexity(text).alias("document_complexity"), language_indicators(text).alias("language_indicators"), technical_density(text).alias("technical_density"))
 
 
 def structure(text: Column) -> dict[str, Column]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetloom.functions import geometry as G
+from sheetloom.functions.text import strip
 
 PAGE = ("doc_id", "page_number")
 # fixed values
@@ -35,7 +36,7 @@ def confident(elements: DataFrame, least: float = 0.5) -> DataFrame:
 
 def readable(elements: DataFrame) -> DataFrame:
     """Without doubtful, very short, punctuation-only or mostly symbolic texts."""
-    text = F.trim("text")
+    text = strip(F.col("text"))
     share = F.char_length(F.regexp_replace("text", r"[^\p{L}\p{N}]", "")) / F.char_length("text")
     return elements.where((F.col("confidence") >= 0.3) & (F.char_length(text) >= 2) & ~text.isin(*NOISE) & (share >= 0.3))
 
@@ -43,7 +44,7 @@ def readable(elements: DataFrame) -> DataFrame:
 def valid_tokens(elements: DataFrame, least: float = 0.5) -> DataFrame:
     """Recognised words on a 0 to 100 scale: printable, no rulers, single characters only if sure."""
     c = F.col("confidence")
-    return elements.where((c >= least * 100) & (F.trim("text") != "") & ~F.col("text").rlike(r"\p{Cc}") & ~F.col("text").rlike(r"^[.\-_|]+$") & ((F.char_length(F.trim("text")) > 1) | (c >= 70)))
+    return elements.where((c >= least * 100) & (strip(F.col("text")) != "") & ~F.col("text").rlike(r"\p{Cc}") & ~F.col("text").rlike(r"^[.\-_|]+$") & ((F.char_length(strip(F.col("text"))) > 1) | (c >= 70)))
 
 
 def of_type(elements: DataFrame, kind: str) -> DataFrame:
@@ -132,9 +133,9 @@ def suppress(elements: DataFrame, measure: str = "iou", above: float = 0.5, most
 
 
 def rows(elements: DataFrame, tolerance: float = 10.0) -> DataFrame:
-    """With ``row_id``: a row ends where an element is further down than ``tolerance`` from the row's first."""
-    one = F.struct("y", "ord")
-    page = elements.where("y is not null").groupBy(*PAGE).agg(F.array_sort(F.collect_list(one)).alias("all"))
+    """With ``row_id``: a row ends where an element is further down than ``tolerance`` from the row's first. Without a box it is at the top left."""
+    one = F.struct(F.coalesce("y", F.lit(0.0)).alias("y"), "ord")
+    page = elements.groupBy(*PAGE).agg(F.array_sort(F.collect_list(one)).alias("all"))
     start = F.struct(F.lit(-1).alias("row"), F.lit(None).cast("double").alias("anchor"), F.expr("cast(array() as array<struct<ord: bigint, row: int>>)").alias("out"))
 
     def step(acc: Column, e: Column) -> Column:
@@ -147,22 +148,30 @@ def rows(elements: DataFrame, tolerance: float = 10.0) -> DataFrame:
 
 
 def reading_order(elements: DataFrame, tolerance: float = 10.0) -> DataFrame:
-    by = Window.partitionBy(*PAGE).orderBy("row_id", "x", "y", "ord")
+    by = Window.partitionBy(*PAGE).orderBy("row_id", F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0)), "ord")
     return rows(elements, tolerance).withColumn("reading_position", F.row_number().over(by))
 
 
 def merge_near(elements: DataFrame, most: float = 20.0) -> DataFrame:
     """Runs of elements (by top, left) whose centres are near the one before, as one element each.
 
-    Elements without a box pass through unchanged.
+    A run has the type of its first element and, if elements name their engines, all of those. Elements without a box
+    pass through, each by itself and without a run.
     """
     by = Window.partitionBy(*PAGE).orderBy("y", "x", "ord")
     boxed = elements.where("x is not null").withColumn("_box", box())
     far = F.coalesce(G.distance(F.lag("_box").over(by), F.col("_box")) > most, F.lit(True)).cast("int")
     runs = boxed.withColumn("_far", far).withColumn("run", F.sum("_far").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.struct("y", "x", "ord")
     texts = F.array_sort(F.collect_list(F.struct("y", "x", "ord", "text")))
-    said = F.array_join(F.filter(F.transform(texts, lambda t: t["text"]), lambda t: F.trim(t) != ""), " ")
-    return runs.groupBy(*PAGE, "run").agg(said.alias("text"), F.avg("confidence").alias("confidence"), F.count("*").alias("merged_from"), *_union_box())
+    said = F.array_join(F.filter(F.transform(texts, lambda t: t["text"]), lambda t: strip(t) != ""), " ")
+    more = [F.min_by("element_type", place).alias("element_type"), F.sort_array(F.collect_set("engine")).alias("engines")]
+    more = [c for c, of in zip(more, ("element_type", "engine")) if of in elements.columns]
+    merged = runs.groupBy(*PAGE, "run").agg(said.alias("text"), F.avg("confidence").alias("confidence"), F.count("*").alias("merged_from"), *more, *_union_box())
+    single = elements.where("x is null").withColumns({"run": F.lit(None).cast("long"), "merged_from": F.lit(1).cast("long")})
+    if "engine" in elements.columns:
+        single = single.withColumn("engines", F.array_compact(F.array("engine")))
+    return merged.unionByName(single.select(*merged.columns))
 
 
 def _union_box() -> list[Column]:

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from operator import eq, ne
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import DoubleType
 
-from sheetloom.functions.text import words
+from sheetloom.functions.text import ENGINEERING_TERMS, bound, first_best, strip, words
 
 
 def _masks(items: Sequence) -> dict[Any, int]:
@@ -121,38 +122,67 @@ def rouge_l(predicted: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series([2 * _in_order(p, r) / (len(p) + len(r)) if p or r else 0.0 for p, r in both], dtype=float)
 
 
+def _points(text: str | None) -> np.ndarray:
+    return np.array([ord(c) for c in text or ""], dtype=np.int64)
+
+
+def _along(row: np.ndarray, step: int | float) -> np.ndarray:
+    """The least of each value and of those before it with ``step`` added for every place between."""
+    place = np.arange(len(row)) * step
+    return np.minimum.accumulate(row - place) + place
+
+
 @F.pandas_udf(DoubleType())
 def normalised_cer(predicted: pd.Series, reference: pd.Series) -> pd.Series:
-    """Errors by errors and correct characters, in percent, along one best alignment."""
+    """Errors by errors and correct characters, in percent, along one best alignment; null counts as empty."""
+    error = 1 << 32  # an error outweighs any number of correct characters, which count as -1 each
     out = []
-    for p, r in zip(predicted, reference):
-        row = [(j, 0) for j in range(len(r) + 1)]  # (errors, -correct)
-        for i, a in enumerate(p, 1):
-            before, row[0] = row[0], (i, 0)
-            for j, b in enumerate(r, 1):
-                keep = (before[0], before[1] - 1) if a == b else (before[0] + 1, before[1])
-                before, row[j] = row[j], min(keep, (row[j][0] + 1, row[j][1]), (row[j - 1][0] + 1, row[j - 1][1]))
-        errors, correct = row[-1]
-        out.append(100 * errors / (errors - correct) if errors - correct else 0.0)
-    return pd.Series(out)
-
-
-@F.pandas_udf(IntegerType())
-def damerau_levenshtein(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Edit distance in which a swap of neighbours is one edit."""
-    out = []
-    for p, r in zip(left, right):
-        older, old = [], list(range(len(r) + 1))
-        for i, a in enumerate(p, 1):
-            row = [i]
-            for j, b in enumerate(r, 1):
-                best = min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (a != b))
-                if i > 1 and j > 1 and a == r[j - 2] and p[i - 2] == b:
-                    best = min(best, older[j - 2] + 1)
-                row.append(best)
-            older, old = old, row
-        out.append(old[-1])
-    return pd.Series(out)
+    for p, r in zip(map(_points, predicted), map(_points, reference)):
+        row = np.arange(len(r) + 1) * error
+        for c in p:
+            above = row + error
+            above[1:] = np.minimum(above[1:], row[:-1] + np.where(r == c, -1, error))
+            row = _along(above, error)
+        errors = -(-int(row[-1]) // error)
+        correct = errors * error - int(row[-1])
+        out.append(100 * errors / (errors + correct) if errors + correct else 0.0)
+    return pd.Series(out, dtype=float)
+
+
+def _swaps(p: np.ndarray, r: np.ndarray, costs: dict[tuple[int, int], float]) -> float:
+    """Edit distance in which a swap of neighbours is one edit and some replacements cost less."""
+    cheap: dict[int, dict[int, float]] = {}
+    for (a, b), cost in costs.items():
+        cheap.setdefault(a, {})[b] = cost
+    row, before = np.arange(len(r) + 1, dtype=float), None
+    for i, c in enumerate(p):
+        replaced = (r != c).astype(float)
+        for b, cost in cheap.get(int(c), {}).items():
+            replaced[r == b] = cost
+        above = row + 1
+        above[1:] = np.minimum(above[1:], row[:-1] + replaced)
+        if i:
+            crossed = np.flatnonzero((r[:-1] == c) & (r[1:] == p[i - 1])) + 2
+            above[crossed] = np.minimum(above[crossed], before[crossed - 2] + 1)
+        row, before = _along(above, 1.0), row
+    return float(row[-1])
+
+
+def weighted_distance(costs: dict[tuple[str, str], float] | None = None) -> Callable[..., Column]:
+    """A function of two text columns: their edit distance with swaps, where ``costs`` has what (predicted, reference)
+    characters that are often confused cost to replace."""
+    by_point = {(ord(a), ord(b)): cost for (a, b), cost in (costs or {}).items()}
+
+    @F.pandas_udf(DoubleType())
+    def distance(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([_swaps(p, r, by_point) for p, r in zip(map(_points, left), map(_points, right))], dtype=float)
+
+    return distance
+
+
+def damerau_levenshtein(left: Column, right: Column) -> Column:
+    """Edit distance in which a swap of neighbours is one edit; null counts as empty."""
+    return weighted_distance()(left, right).cast("int")
 
 
 def field_accuracy(predicted: Column, reference: Column) -> Column:
@@ -172,21 +202,72 @@ def grade(cer_: Column, wer_: Column) -> Column:
     return out
 
 
+def technical_accuracy(predicted: Column, reference: Column) -> Column:
+    """Group of terms -> share of those in the reference that the prediction has too; groups without any are left out."""
+    shares = []
+    for group, terms in ENGINEERING_TERMS.items():
+        named = F.array(*[F.lit(t.lower()) for t in dict.fromkeys(terms)])
+        wanted = F.filter(named, lambda t: F.contains(F.lower(reference), t))
+        found = F.filter(wanted, lambda t: F.contains(F.lower(predicted), t))
+        shares.append(F.struct(F.lit(group).alias("group"), F.try_divide(F.size(found), F.size(wanted)).alias("share")))
+    return F.map_from_entries(F.filter(F.array(*shares), lambda s: s["share"].isNotNull()))
+
+
+def match_rate(predicted: DataFrame, reference: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, match_rate: the share of the reference's (category, value) matches that the prediction has, whatever their case."""
+    plain = lambda df: df.select(key, "category", F.lower("value").alias("value")).distinct()
+    both = plain(reference).join(plain(predicted).withColumn("found", F.lit(1)), [key, "category", "value"], "left")
+    return both.groupBy(key).agg(F.avg(F.coalesce("found", F.lit(0)).cast("double")).alias("match_rate"))
+
+
 def recommendations(cer_: Column, wer_: Column, iou_: Column) -> Column:
     return F.array_compact(F.array(F.when(cer_ > 5, "improve character recognition"), F.when(wer_ > 10, "improve word recognition"), F.when(iou_ < 0.5, "improve localisation")))
 
 
+def report(metrics: DataFrame) -> DataFrame:
+    """``metrics`` (cer, wer, iou_scores, field_accuracy: a map) with overall_score, grade and recommendations."""
+    c, w, ious = F.col("cer"), F.col("wer"), F.col("iou_scores")
+    mean = F.try_divide(F.aggregate(ious, F.lit(0.0), lambda x, y: x + y), F.size(ious))
+    return metrics.withColumns({"overall_score": overall_score(c, w, ious, F.map_values("field_accuracy")), "grade": grade(c, w), "recommendations": recommendations(c, w, mean)})
+
+
+def compared(predicted: DataFrame, truth: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(pairs, missing): predictions beside the valid ground truth of their document, and truth without a prediction."""
+    known = valid_truth(truth)
+    return predicted.join(known, key), known.join(predicted.select(key), key, "left_anti")
+
+
+def valid_truth(truth: DataFrame) -> DataFrame:
+    """Ground truth with a text and a source."""
+    return truth.where("reference_text != '' and source_file != ''")
+
+
 def share_above(ious: DataFrame, value: str = "iou") -> DataFrame:
     return ious.agg(F.avg(value).alias("mean_iou"), *[F.avg((F.col(value) >= t).cast("double")).alias(f"iou_at_{int(t * 100)}") for t in (0.5, 0.75)])
 
 
 def average_precision(detections: DataFrame, n_truth: int) -> DataFrame:
-    """threshold, ap of detections (confidence, iou), one truth box each, at 0.50, 0.55 ... 0.95; the mean is mAP."""
-    every = detections.withColumn("threshold", F.explode(F.array(*[F.lit(x / 100) for x in range(50, 100, 5)])))
-    by = Window.partitionBy("threshold").orderBy(F.desc("confidence"), F.desc("iou"))
-    hit = (F.col("iou") >= F.col("threshold")).cast("int")
-    ranked = every.withColumn("hit", hit).withColumn("rank", F.row_number().over(by)).withColumn("hits", F.sum("hit").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.groupBy("threshold").agg((F.sum(F.when(F.col("hit") == 1, F.col("hits") / F.col("rank")).otherwise(0.0)) / n_truth).alias("ap"))
+    """threshold, ap of detections (confidence, iou), one truth box each, at 0.50, 0.55 ... 0.95; the mean is mAP.
+
+    Detections are ranked once, in slices of the confidence: a row of the rank within its slice, and a few sums per slice
+    of what lies before it, so that no task holds all of them.
+    """
+    thresholds = [x / 100 for x in range(50, 100, 5)]
+    n_slices = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = detections.select(F.percentile_approx("confidence", [k / n_slices for k in range(1, n_slices)] or [0.5], 10_000)).first()[0] or []
+    # equal confidences are in one slice; few cuts, as many as there are partitions
+    sliced = detections.withColumn("_slice", -F.size(F.filter(F.lit(sorted(set(cuts))).cast("array<double>"), lambda c: c < F.col("confidence"))))
+    hits = [F.sum((F.col("iou") >= t).cast("long")).alias(f"h{k}") for k, t in enumerate(thresholds)]
+    totals = sliced.groupBy("_slice").agg(F.count("*").alias("n"), *hits)
+    over = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    names = ["n", *(f"h{k}" for k in range(len(thresholds)))]
+    before = totals.select("_slice", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"before_{c}") for c in names])
+    by = Window.partitionBy("_slice").orderBy(F.desc("confidence"), F.desc("iou"))
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = sliced.join(F.broadcast(before), "_slice").select("*", (F.col("before_n") + F.row_number().over(by)).alias("rank"), *[(F.col(f"before_h{k}") + F.sum((F.col("iou") >= t).cast("long")).over(upto)).alias(f"hits{k}") for k, t in enumerate(thresholds)])
+    gained = [F.coalesce(F.sum(F.when(F.col("iou") >= t, F.col(f"hits{k}") / F.col("rank"))), F.lit(0.0)) for k, t in enumerate(thresholds)]
+    row = ranked.agg(*[(g / n_truth).alias(f"ap{k}") for k, g in enumerate(gained)])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"ap{k}").alias("ap")) for k, t in enumerate(thresholds)])).alias("r")).select("r.threshold", "r.ap")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -197,3 +278,31 @@ def cosine(a: Column, b: Column) -> Column:
 def similarity(a: Column, b: Column) -> Column:
     x, y = F.array_distinct(words(F.lower(a))), F.array_distinct(words(F.lower(b)))
     return F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y)))
+
+
+#: Frequent short words by language, for a vote.
+STOP_WORDS = {
+    "en": ("the", "and", "of", "to", "in", "is", "that", "for", "with", "are"),
+    "de": ("der", "die", "und", "das", "ist", "nicht", "mit", "ein", "den", "von"),
+    "fr": ("le", "la", "et", "les", "des", "est", "une", "dans", "pour", "que"),
+    "es": ("el", "los", "y", "de", "que", "en", "una", "por", "con", "para"),
+}
+
+
+def likely_language(text: Column) -> Column:
+    """The language with most of its stop words among the words of the text; ``unknown`` without any."""
+    return bound(words(F.lower(text)), lambda ws: first_best([(name, F.size(F.filter(ws, lambda w: w.isin(*own)))) for name, own in STOP_WORDS.items()], "unknown"))
+
+
+def keywords(docs: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, word, n, rank: the ``k`` most frequent words of four letters or more that are no stop words; ties by name."""
+    stop = [w for own in STOP_WORDS.values() for w in own]
+    word = docs.select(id_col, F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("word"))
+    counted = word.where(~F.col("word").isin(*stop)).groupBy(id_col, "word").agg(F.count("*").alias("n"))
+    by = Window.partitionBy(id_col).orderBy(F.desc("n"), "word")
+    return counted.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
+def clean_text(text: Column) -> Column:
+    """One space for white space, none at the ends, no control characters."""
+    return strip(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"\p{Cc}", ""))

@@ -12,16 +12,16 @@ from sheetloom.functions.catalogue import Catalogue
 from sheetloom.operators import elements as E
 from sheetloom.operators import evaluation as V
 from sheetloom.operators import patterns as P
-from sheetloom.plans.inputs import ELEMENTS_SQL, PAIRS_SQL, SPECS_SQL, elements, pairs, specs, whole_pairs
+from sheetloom.plans.inputs import CORPUS_SQL, ELEMENTS_SQL, PAIRS_SQL, SPECS_SQL, corpus, documents, elements, pairs, specs
 from sheetloom.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-_ELEMENTS = f"WITH elements AS ({ELEMENTS_SQL}) "
+_ELEMENTS = f"WITH elements AS MATERIALIZED ({ELEMENTS_SQL}) "
 _SPECS = f"WITH specs AS ({SPECS_SQL}) "
-_PAIRS = f"WITH pairs AS ({PAIRS_SQL}) "
+_CORPUS = f"WITH corpus AS MATERIALIZED ({CORPUS_SQL}) "
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -58,7 +58,7 @@ _MEAN = rf"list_sum(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda
 def doc_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = T.structure(F.col("text"))
     columns["avg_sentence_length"] = F.round(columns["avg_sentence_length"], 6)
-    return _table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in columns.items()])
+    return documents(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in columns.items()])
 
 
 def _present(terms: list[str]) -> str:
@@ -70,13 +70,18 @@ def _best(scores: list[tuple[str, str]], default: str) -> str:
     return f"CASE WHEN {top} <= 0 THEN {_q(default)} " + " ".join(f"WHEN {s} = {top} THEN {_q(n)}" for n, s in scores) + " END"
 
 
-_TYPE = _best([(n, _present(t) + (f" + 5 * ({_count('low', chr(92).join(['section', 's+', 'd+']))} + {_count('low', chr(92).join(['division', 's+', 'd+']))})" if n == "construction_specification" else "")) for n, t in T.TYPE_TERMS.items()], "general")
+def _type_score(name: str, terms: list[str]) -> str:
+    more = " + ".join(f"5 * {_count('low', p)}" for p in T.TYPE_PATTERNS)
+    return _present(terms) + (f" + {more}" if name == "construction_specification" else "")
+
+
+_TYPE = _best([(n, _type_score(n, t)) for n, t in T.TYPE_TERMS.items()], "general")
 _COMPLEXITY = _best([(n, f"{w} * {_present(t)}") for n, (w, t) in T.COMPLEXITY_TERMS.items()], "simple")
 _BOTH = "(SELECT doc_id, 'spec' AS origin, text, lower(text) AS low FROM specs UNION ALL SELECT doc_id, 'document', text, lower(text) FROM documents)"
 
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.lit("document").alias("origin"), "text")
+    docs = documents(spark, sf_dir).select("doc_id", F.lit("document").alias("origin"), "text")
     return specs(spark, sf_dir).select("doc_id", F.lit("spec").alias("origin"), "text").unionAll(docs)
 
 
@@ -97,10 +102,10 @@ def doc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SPECS + "SELECT doc_id, origin, " + ", ".join(f"regexp_matches(low, {_q(p)}) AS {n}" for n, p in T.FLAGS.items()) + f" FROM {_BOTH}")
 def doc_characteristics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _both(spark, sf_dir).select("doc_id", "origin", T.characteristics(F.col("text")).alias("c")).select("doc_id", "origin", *[f"c.{n}" for n in T.FLAGS])
+    return _both(spark, sf_dir).select("doc_id", "origin", *[c.alias(n) for n, c in T.flags(F.col("text")).items()])
 
 
-@query(_SPECS + f"SELECT doc_id, origin, round(CASE WHEN len(ws) > 0 THEN (" + " + ".join(f"len(list_filter(ws, lambda w: contains(w, {_q(t.lower())})))" for t in T.ENGINEERING_TERMS) + f") / len(ws) ELSE 0 END, 6) AS density FROM (SELECT *, {_words('low')} AS ws FROM {_BOTH})")
+@query(_SPECS + f"SELECT doc_id, origin, round(CASE WHEN len(ws) > 0 THEN (" + " + ".join(f"len(list_filter(ws, lambda w: contains(w, {_q(t.lower())})))" for terms in T.ENGINEERING_TERMS.values() for t in terms) + f") / len(ws) ELSE 0 END, 6) AS density FROM (SELECT *, {_words('low')} AS ws FROM {_BOTH})")
 def tech_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _both(spark, sf_dir).select("doc_id", "origin", F.round(T.technical_density(F.col("text")), 6).alias("density"))
 
@@ -119,7 +124,7 @@ def _matches_sql(source: str) -> str:
 
 _STRIP = r"regexp_replace(coalesce(raw, ''), '^\s+|\s+$', '', 'g')"
 _CLEAN = rf"regexp_replace(trim(regexp_replace({_STRIP}, '\s+', ' ', 'g')), '^[-–—\s]+|[-–—\s]+$', '', 'g')"
-_FOUND = f"""{_SPECS}, raw AS ({_matches_sql('specs')}), cleaned AS (
+_FOUND = f"""{_CORPUS}, raw AS MATERIALIZED ({_matches_sql('corpus')}), cleaned AS (
 SELECT doc_id, category, pattern_idx, match_idx, {_CLEAN} AS value FROM raw WHERE length({_STRIP}) > 1),
 kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category, lower(value) ORDER BY pattern_idx, match_idx) AS n FROM cleaned
 WHERE length(value) > 1 AND value NOT IN ('.', ',', ';', ':', '!', '?', '-', '_', '|') AND length(regexp_replace(value, '[^\\p{{L}}\\p{{N}}]', '', 'g')) / length(value) >= 0.3),
@@ -128,12 +133,21 @@ found AS (SELECT doc_id, category, pattern_idx, match_idx, value FROM kept WHERE
 
 @query(_FOUND + "SELECT doc_id, category, pattern_idx, CAST(match_idx AS int) AS match_idx, value FROM found")
 def pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.matches(specs(spark, sf_dir))
+    return P.matches(corpus(spark, sf_dir))
+
+
+_PLACES = "(VALUES " + ", ".join(f"({_q(name)}, {k})" for k, name in enumerate(Catalogue().categories)) + ") AS c(category, place)"
+_COUNTS = f"{_FOUND}, counts AS (SELECT doc_id, category, count(*) AS n FROM raw GROUP BY ALL) "
 
 
-@query(_FOUND + ", counts AS (SELECT doc_id, category, count(*) AS n FROM found GROUP BY ALL) SELECT doc_id, category, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, category) AS rank FROM counts QUALIFY rank <= 10")
+@query(_COUNTS + f"SELECT d.doc_id, c.category, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY d.doc_id ORDER BY coalesce(n, 0) DESC, place) AS rank FROM corpus d CROSS JOIN {_PLACES} LEFT JOIN counts USING (doc_id, category) WHERE d.text <> '' QUALIFY rank <= 10")
 def top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.top_categories(P.matches(specs(spark, sf_dir))).withColumn("rank", F.col("rank").cast("long"))
+    return P.top_categories(P.statistics(corpus(spark, sf_dir))).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(_COUNTS + f"SELECT d.doc_id, {len(Catalogue().patterns())} AS total_patterns, {len(Catalogue().categories)} AS categories, length(text) AS text_length, CAST(coalesce(total, 0) AS bigint) AS total_matches, round(CASE WHEN len(ws) > 0 THEN coalesce(total, 0) / len(ws) ELSE 0 END, 6) AS match_density FROM (SELECT *, {_words('text')} AS ws FROM corpus WHERE text <> '') d LEFT JOIN (SELECT doc_id, sum(n) AS total FROM counts GROUP BY ALL) USING (doc_id)")
+def pattern_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.statistics(corpus(spark, sf_dir)).drop("matches_by_category").withColumn("match_density", F.round("match_density", 6))
 
 
 def _titled_sql() -> str:
@@ -144,17 +158,17 @@ def _titled_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-_TYPED = f"{_SPECS}, typed AS (SELECT doc_id, text, {_TYPE} AS document_type FROM (SELECT *, lower(text) AS low FROM specs)) "
+_TYPED = f"{_CORPUS}, typed AS MATERIALIZED (SELECT doc_id, text, {_TYPE} AS document_type FROM (SELECT *, lower(text) AS low FROM corpus)) "
 
 
 @query(_TYPED + f"SELECT doc_id, field, CAST(ord AS int) AS ord, trim(z[1]) AS number, trim(z[2]) AS title FROM ({_titled_sql()})")
 def spec_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.titled(specs(spark, sf_dir))
+    return P.titled(corpus(spark, sf_dir))
 
 
 @query(_TYPED + "SELECT DISTINCT doc_id, field, trim(value) AS value FROM (" + " UNION ALL ".join(f"SELECT doc_id, {_q(name)} AS field, unnest(regexp_extract_all(text, {_q('(?im)' + p)}, 1)) AS value FROM typed WHERE document_type = {_q(of)}" for of, sets in P._SETS.items() for name, ps in sets.items() for p in ps) + ")")
 def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.typed_values(specs(spark, sf_dir))
+    return P.typed_values(corpus(spark, sf_dir))
 
 
 @query(_ELEMENTS + r"SELECT doc_id, page_number, ord, text, confidence FROM elements WHERE confidence >= 0.5 AND length(trim(text)) >= 2 AND trim(text) NOT IN ('|','-','_','.',':',';','!','?') AND length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) / length(text) >= 0.3")
@@ -189,10 +203,15 @@ def page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
-@query(f"WITH elements AS ({ELEMENTS_SQL}), " + _FOUND.removeprefix("WITH ") + ", means AS (SELECT doc_id, coalesce(avg(CASE WHEN confidence > 0 THEN confidence END), 0) AS mean, count(*) FILTER (element_type = 'table') AS n_tables FROM elements GROUP BY doc_id), keys AS (SELECT doc_id, count(DISTINCT category) AS n_keys FROM found GROUP BY doc_id) SELECT s.doc_id, round(coalesce(mean * 0.4 + least(coalesce(n_keys, 0) / 4.0, 1) * 0.3 + least(n_tables / 5.0, 1) * 0.2 + least(length(text) / 5000.0, 1) * 0.1, 0), 6) AS confidence FROM specs s LEFT JOIN means USING (doc_id) LEFT JOIN keys USING (doc_id)")
+_N_PARTS = "(SELECT max(p_partkey) FROM part)"
+
+
+@query(_FOUND + f", specs AS ({SPECS_SQL}), elements AS MATERIALIZED (SELECT 1 + source_id % {_N_PARTS} AS doc_id, confidence, element_type FROM ({ELEMENTS_SQL})), means AS (SELECT doc_id, coalesce(avg(CASE WHEN confidence > 0 THEN confidence END), 0) AS mean, count(*) FILTER (element_type = 'table') AS n_tables FROM elements GROUP BY doc_id), keys AS (SELECT doc_id, count(DISTINCT category) AS n_keys FROM found GROUP BY doc_id) SELECT s.doc_id, round(coalesce(mean * 0.4 + least(coalesce(n_keys, 0) / 4.0, 1) * 0.3 + least(n_tables / 5.0, 1) * 0.2 + least(length(text) / 5000.0, 1) * 0.1, 0), 6) AS confidence FROM specs s LEFT JOIN means USING (doc_id) LEFT JOIN keys ON keys.doc_id = 'spec-' || s.doc_id")
 def doc_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, found = specs(spark, sf_dir), elements(spark, sf_dir)
-    keys = P.statistics(P.matches(docs)).groupBy("doc_id").agg(F.count("*").alias("n_keys"))
+    """Elements go to the specifications by the number of their order, so that nearly all have some."""
+    n_parts = _table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]
+    docs, found = specs(spark, sf_dir), elements(spark, sf_dir).withColumn("doc_id", F.col("source_id") % n_parts + 1)
+    keys = P.matches(docs).groupBy("doc_id").agg(F.count_distinct("category").alias("n_keys"))
     known = docs.join(keys, "doc_id", "left").na.fill(0, ["n_keys"])
     return E.document_confidence(known, found, E.of_type(found, "table")).withColumn("confidence", F.round("confidence", 6))
 
@@ -211,22 +230,41 @@ def bbox_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.pairs(elements(spark, sf_dir), "overlap").withColumn("value", F.round("value", 6))
 
 
-@query()
+def _suppressed(of: str, most: str = "") -> str:
+    """One step for each element of a page, the surest first: it joins those kept unless it overlaps one of them."""
+    shared = "greatest(least(b.x + b.w, o.x + o.w) - greatest(b.x, o.x), 0) * greatest(least(b.y + b.h, o.y + o.h) - greatest(b.y, o.y), 0)"
+    box = "[{'ord': o.ord, 'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h}]"
+    return (
+        _ELEMENTS.replace("WITH", "WITH RECURSIVE", 1)
+        + ", o AS MATERIALIZED (SELECT doc_id, page_number, ord, x, y, w, h, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY confidence DESC, ord) AS k FROM elements)"
+        + f", s AS (SELECT doc_id, page_number, k, {box} AS kept FROM o WHERE k = 1 UNION ALL SELECT o.doc_id, o.page_number, o.k, CASE WHEN len(list_filter(s.kept, lambda b: {shared} / {of} > 0.5)) > 0 THEN s.kept ELSE list_concat(s.kept, {box}) END FROM s JOIN o ON o.doc_id = s.doc_id AND o.page_number = s.page_number AND o.k = s.k + 1)"
+        + f" SELECT doc_id, page_number, unnest(kept{most}).ord AS ord FROM s QUALIFY k = max(k) OVER (PARTITION BY doc_id, page_number)"
+    ).replace("unnest(kept).ord", "unnest(list_transform(kept, lambda b: b.ord))").replace("unnest(kept[1:50]).ord", "unnest(list_transform(kept[1:50], lambda b: b.ord))")
+
+
+@query(_suppressed("(b.w * b.h + o.w * o.h - (greatest(least(b.x + b.w, o.x + o.w) - greatest(b.x, o.x), 0) * greatest(least(b.y + b.h, o.y + o.h) - greatest(b.y, o.y), 0)))"))
 def nms_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.suppress(elements(spark, sf_dir)).select("doc_id", "page_number", "ord")
 
 
-@query()
+@query(_suppressed("least(b.w * b.h, o.w * o.h)", "[1:50]"))
 def nms_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.suppress(elements(spark, sf_dir), "overlap", most=50).select("doc_id", "page_number", "ord")
 
 
-@query()
+_ROWS = (
+    _ELEMENTS.replace("WITH", "WITH RECURSIVE", 1)
+    + ", o AS MATERIALIZED (SELECT doc_id, page_number, ord, x, y, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y, ord) AS k FROM elements)"
+    + ", r AS (SELECT doc_id, page_number, ord, x, y, k, y AS anchor, 0 AS row_id FROM o WHERE k = 1 UNION ALL SELECT o.doc_id, o.page_number, o.ord, o.x, o.y, o.k, CASE WHEN abs(o.y - anchor) > 10 THEN o.y ELSE anchor END, row_id + CASE WHEN abs(o.y - anchor) > 10 THEN 1 ELSE 0 END FROM r JOIN o ON o.doc_id = r.doc_id AND o.page_number = r.page_number AND o.k = r.k + 1) "
+)
+
+
+@query(_ROWS + "SELECT doc_id, page_number, ord, row_id FROM r")
 def row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.rows(elements(spark, sf_dir)).select("doc_id", "page_number", "ord", "row_id")
 
 
-@query()
+@query(_ROWS + "SELECT doc_id, page_number, ord, CAST(row_number() OVER (PARTITION BY doc_id, page_number ORDER BY row_id, x, y, ord) AS int) AS reading_position FROM r")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.reading_order(elements(spark, sf_dir)).select("doc_id", "page_number", "ord", "reading_position")
 
@@ -235,9 +273,9 @@ _RUNS = "SELECT *, sum(far) OVER (PARTITION BY doc_id, page_number ORDER BY y, x
 _UNION = "min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h"
 
 
-@query(_ELEMENTS + "SELECT doc_id, page_number, CAST(run AS bigint) AS run, coalesce(string_agg(text, ' ' ORDER BY y, x, ord) FILTER (trim(text) <> ''), '') AS text, round(avg(confidence), 6) AS confidence, count(*) AS merged_from, " + _UNION + " FROM (" + _RUNS.format(far="coalesce(sqrt(power(x + w / 2 - lag(x + w / 2) OVER v, 2) + power(y + h / 2 - lag(y + h / 2) OVER v, 2)) > 20, true)") + ") GROUP BY ALL")
+@query(_ELEMENTS + "SELECT doc_id, page_number, CAST(run AS bigint) AS run, coalesce(string_agg(text, ' ' ORDER BY y, x, ord) FILTER (trim(text) <> ''), '') AS text, round(avg(confidence), 6) AS confidence, count(*) AS merged_from, arg_min(element_type, ROW(y, x, ord)) AS element_type, array_to_string(list_sort(list(DISTINCT engine)), ',') AS engines, " + _UNION + " FROM (" + _RUNS.format(far="coalesce(sqrt(power(x + w / 2 - lag(x + w / 2) OVER v, 2) + power(y + h / 2 - lag(y + h / 2) OVER v, 2)) > 20, true)") + ") GROUP BY ALL")
 def proximity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.merge_near(elements(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+    return E.merge_near(elements(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6)).withColumn("engines", F.array_join("engines", ","))
 
 
 @query(_ELEMENTS + "SELECT doc_id, page_number, CAST(run AS bigint) AS run, count(*) AS n_cells, round(avg(confidence) * 0.9, 9) AS confidence, " + _UNION + " FROM (" + _RUNS.format(far="coalesce(abs(y - lag(y) OVER v) > 2 * h, true)") + ") GROUP BY doc_id, page_number, run HAVING count(*) >= 4")
@@ -287,57 +325,52 @@ def block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("table_id").cast("long"), "row_index", "col_index", "content")
 
 
-@query(_PAIRS + "SELECT doc_id, round(levenshtein(predicted, reference) / length(reference) * 100, 6) AS cer FROM pairs")
+# What a prediction changes can match nothing in the reference: it has no o and no l, words that it lacks hold neither and it
+# has no digit in their place. So the fewest edits are exactly those made, and they can be counted in SQL.
+_EDITS = f"""WITH pairs AS MATERIALIZED ({PAIRS_SQL}), counted AS MATERIALIZED (
+SELECT doc_id, length(reference) AS n, length(reference) - length(replace(replace(reference, 'o', ''), 'l', '')) + abs(length(edited) - length(reference)) AS e,
+  len(rw) AS nw, len(pw) AS mw, len(list_filter(rw, lambda w: contains(w, 'o') OR contains(w, 'l'))) AS sw
+FROM (SELECT *, {_words('reference')} AS rw, {_words('predicted')} AS pw FROM pairs)),
+rates AS (SELECT *, CASE WHEN n > 0 THEN e / n * 100 WHEN e > 0 THEN 100 ELSE 0 END AS cer, CASE WHEN nw > 0 THEN (sw + abs(mw - nw)) / nw * 100 WHEN mw > 0 THEN 100 ELSE 0 END AS wer FROM counted) """
+
+
+@query(_EDITS + "SELECT doc_id, round(cer, 6) AS cer FROM rates")
 def cer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select("doc_id", F.round(V.cer(F.col("predicted"), F.col("reference")), 6).alias("cer"))
+    return pairs(spark, sf_dir).select("doc_id", F.round(V.cer("predicted", "reference"), 6).alias("cer"))
 
 
-@query(_PAIRS + rf"SELECT doc_id, round(len(list_filter(list_zip({_words('predicted')}, {_words('reference')}), lambda z: z[1] <> z[2])) / len({_words('reference')}) * 100, 6) AS wer FROM pairs")
+@query(_EDITS + "SELECT doc_id, round(wer, 6) AS wer FROM rates")
 def wer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters are replaced one by one, so the words that differ are the word errors."""
     return V.wer(pairs(spark, sf_dir)).select("doc_id", F.round("wer", 6).alias("wer"))
 
 
-@query(_PAIRS + rf"SELECT doc_id, CASE WHEN c <= 2 AND w <= 5 THEN 'EXCELLENT' WHEN c <= 5 AND w <= 10 THEN 'GOOD' WHEN c <= 10 AND w <= 20 THEN 'MODERATE' ELSE 'POOR' END AS grade FROM (SELECT doc_id, levenshtein(predicted, reference) / length(reference) * 100 AS c, len(list_filter(list_zip({_words('predicted')}, {_words('reference')}), lambda z: z[1] <> z[2])) / len({_words('reference')}) * 100 AS w FROM pairs)")
+@query(_EDITS + "SELECT doc_id, CASE WHEN cer <= 2 AND wer <= 5 THEN 'EXCELLENT' WHEN cer <= 5 AND wer <= 10 THEN 'GOOD' WHEN cer <= 10 AND wer <= 20 THEN 'MODERATE' ELSE 'POOR' END AS grade FROM rates")
 def quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = V.wer(pairs(spark, sf_dir)).withColumn("cer", V.cer(F.col("predicted"), F.col("reference")))
+    both = V.wer(pairs(spark, sf_dir)).withColumn("cer", V.cer("predicted", "reference"))
     return both.select("doc_id", V.grade(F.col("cer"), F.col("wer")).alias("grade"))
 
 
-@query(_PAIRS + f", p AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest({_words('predicted')}) AS g FROM pairs) GROUP BY ALL), r AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest({_words('reference')}) AS g FROM pairs) GROUP BY ALL) SELECT doc_id, round(sum(least(coalesce(p.n, 0), r.n)) / sum(r.n), 6) AS rouge1 FROM r LEFT JOIN p USING (doc_id, g) GROUP BY doc_id")
+_GRAMS = f"""{_EDITS}, w AS (
+SELECT doc_id, 0 AS side, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM (SELECT doc_id, {_words('reference')} AS ws FROM pairs) UNION ALL
+SELECT doc_id, 1, unnest(ws), generate_subscripts(ws, 1) FROM (SELECT doc_id, {_words('predicted')} AS ws FROM pairs)),
+g AS (SELECT doc_id, side, unnest([1, 2, 3, 4]) AS n, unnest([w, w || ' ' || lead(w, 1) OVER v, w || ' ' || lead(w, 1) OVER v || ' ' || lead(w, 2) OVER v, w || ' ' || lead(w, 1) OVER v || ' ' || lead(w, 2) OVER v || ' ' || lead(w, 3) OVER v]) AS g FROM w WINDOW v AS (PARTITION BY doc_id, side ORDER BY k)),
+c AS (SELECT doc_id, n, g, count(*) FILTER (side = 0) AS r, count(*) FILTER (side = 1) AS p FROM g WHERE g IS NOT NULL GROUP BY ALL),
+hits AS (SELECT doc_id, n, sum(least(r, p)) AS hit, sum(p) AS p, sum(r) AS r FROM c GROUP BY ALL) """
+
+
+@query(_GRAMS + "SELECT d.doc_id, round(coalesce(hit / r, 0), 6) AS rouge1 FROM counted d LEFT JOIN (SELECT * FROM hits WHERE n = 1 AND r > 0) h USING (doc_id)")
 def rouge1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.rouge1(pairs(spark, sf_dir), "doc_id").withColumn("rouge1", F.round("rouge1", 6))
 
 
-@query()
+@query(_GRAMS + "SELECT d.doc_id, round(coalesce(bleu, 0), 6) AS bleu FROM counted d LEFT JOIN (SELECT doc_id, exp(avg(ln(hit / h.p)) + least(0, 1 - any_value(nw) / any_value(mw))) AS bleu FROM hits h JOIN counted USING (doc_id) WHERE hit > 0 GROUP BY doc_id HAVING count(*) = 4) b USING (doc_id)")
 def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.bleu(whole_pairs(spark, sf_dir), "doc_id").withColumn("bleu", F.round("bleu", 6))
+    return V.bleu(pairs(spark, sf_dir), "doc_id").withColumn("bleu", F.round("bleu", 6))
 
 
-@query()
+@query(_EDITS + "SELECT doc_id, round(CASE WHEN nw + mw > 0 THEN 2 * (least(nw, mw) - sw) / (nw + mw) ELSE 0 END, 6) AS rouge_l FROM counted")
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return whole_pairs(spark, sf_dir).select("doc_id", V.rouge_l("predicted", "reference").alias("rouge_l"))
-
-
-@query()
-def documents_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return whole_pairs(spark, sf_dir).select("doc_id", F.round(V.cer("predicted", "reference"), 6).alias("cer"))
-
-
-@query()
-def documents_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.wer(whole_pairs(spark, sf_dir)).select("doc_id", F.round("wer", 6).alias("wer"))
-
-
-@query()
-def documents_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = V.wer(whole_pairs(spark, sf_dir)).withColumn("cer", V.cer("predicted", "reference"))
-    return both.select("doc_id", V.grade(F.col("cer"), F.col("wer")).alias("grade"))
-
-
-@query()
-def documents_rouge1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.rouge1(whole_pairs(spark, sf_dir), "doc_id").withColumn("rouge1", F.round("rouge1", 6))
+    return pairs(spark, sf_dir).select("doc_id", F.round(V.rouge_l("predicted", "reference"), 6).alias("rouge_l"))
 
 
 @query("SELECT CAST(least(floor(a * 18 / 180), 17) AS int) AS bin, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT abs(value) % 180 AS a FROM events WHERE value IS NOT NULL) GROUP BY ALL")

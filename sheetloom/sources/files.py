@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetloom.functions.geometry import box_of_polygon
+from sheetloom.functions.text import strip
 
 EXTENSIONS, LARGEST_MB = (".pdf",), 100.0
 
@@ -55,25 +56,25 @@ def textract(responses: DataFrame) -> DataFrame:
     blocks = responses.select("doc_id", "page_number", "width", "height", F.posexplode(F.from_json("response", shape)["Blocks"]).alias("ord", "b")).where("b.BlockType = 'WORD'")
     box = F.col("b.Geometry.BoundingBox")
     pixel = lambda part, size: (box[part] * F.col(size)).cast("int").cast("double")
-    return blocks.select("doc_id", "page_number", "ord", F.trim("b.Text").alias("text"), (F.col("b.Confidence") / 100).alias("confidence"), pixel("Left", "width").alias("x"), pixel("Top", "height").alias("y"), pixel("Width", "width").alias("w"), pixel("Height", "height").alias("h"))
+    return blocks.select("doc_id", "page_number", "ord", strip(F.col("b.Text")).alias("text"), (F.col("b.Confidence") / 100).alias("confidence"), pixel("Left", "width").alias("x"), pixel("Top", "height").alias("y"), pixel("Width", "width").alias("w"), pixel("Height", "height").alias("h"))
 
 
 def azure(responses: DataFrame) -> DataFrame:
     """Lines of responses: polygons of four points or more, confidence 0.9 where none is given."""
     shape = f"pages array<struct<lines: array<struct<content: string, confidence: double, polygon: {_POINTS}>>>>"
     lines = responses.select("doc_id", "width", "height", F.posexplode(F.from_json("response", shape)["pages"]).alias("p", "page")).select("doc_id", (F.col("p") + 1).alias("page_number"), "width", "height", F.posexplode("page.lines").alias("ord", "l"))
-    found = lines.withColumn("box", box_of_polygon(F.col("l.polygon"))).where("trim(l.content) != '' and box is not null")
+    found = lines.withColumn("box", box_of_polygon(F.col("l.polygon"))).where((strip(F.col("l.content")) != "") & F.col("box").isNotNull())
     pixel = lambda part, size: (F.col(f"box.{part}") * F.col(size)).cast("int").cast("double")
-    return found.select("doc_id", "page_number", "ord", F.trim("l.content").alias("text"), F.coalesce("l.confidence", F.lit(0.9)).alias("confidence"), pixel("x", "width").alias("x"), pixel("y", "height").alias("y"), pixel("w", "width").alias("w"), pixel("h", "height").alias("h"))
+    return found.select("doc_id", "page_number", "ord", strip(F.col("l.content")).alias("text"), F.coalesce("l.confidence", F.lit(0.9)).alias("confidence"), pixel("x", "width").alias("x"), pixel("y", "height").alias("y"), pixel("w", "width").alias("w"), pixel("h", "height").alias("h"))
 
 
 def mistral(responses: DataFrame) -> DataFrame:
     """Blocks of responses: confidence 0.8 by default; without a box, the page's top tenth; short boxes are left out."""
     shape = f"blocks array<struct<text: string, confidence: double, bbox: {_POINTS}>>"
-    blocks = responses.select("doc_id", "page_number", "width", "height", F.posexplode(F.from_json("response", shape)["blocks"]).alias("ord", "b")).where("trim(b.text) != ''")
+    blocks = responses.select("doc_id", "page_number", "width", "height", F.posexplode(F.from_json("response", shape)["blocks"]).alias("ord", "b")).where(strip(F.col("b.text")) != "")
     top = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("width").cast("double").alias("w"), F.floor(F.col("height") / 10).cast("double").alias("h"))
     box = F.when(F.col("b.bbox").isNull(), top).otherwise(box_of_polygon(F.col("b.bbox")))
-    return blocks.withColumn("box", box).where("box is not null").select("doc_id", "page_number", "ord", F.trim("b.text").alias("text"), F.coalesce("b.confidence", F.lit(0.8)).alias("confidence"), "box.x", "box.y", "box.w", "box.h")
+    return blocks.withColumn("box", box).where("box is not null").select("doc_id", "page_number", "ord", strip(F.col("b.text")).alias("text"), F.coalesce("b.confidence", F.lit(0.8)).alias("confidence"), "box.x", "box.y", "box.w", "box.h")
 
 
 def tesseract(tables: DataFrame) -> DataFrame:
@@ -85,4 +86,4 @@ def tesseract(tables: DataFrame) -> DataFrame:
 
 def whole_page(pages: DataFrame) -> DataFrame:
     """The last resort of a page: its text as one element."""
-    return pages.where("trim(text) != ''").select("doc_id", "page_number", F.lit(0).alias("ord"), F.trim("text").alias("text"), F.lit(0.5).alias("confidence"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("width").cast("double").alias("w"), F.col("height").cast("double").alias("h"))
+    return pages.where(strip(F.col("text")) != "").select("doc_id", "page_number", F.lit(0).alias("ord"), strip(F.col("text")).alias("text"), F.lit(0.5).alias("confidence"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("width").cast("double").alias("w"), F.col("height").cast("double").alias("h"))

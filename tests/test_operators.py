@@ -171,9 +171,9 @@ def test_pipeline_config_and_stream(spark, tmp_path, sf_dir):
 
 
 def test_evaluation_reads_every_whole_document(spark, tmp_path):
-    texts = [(1, "x " * 400 + "lol", "en"), (2, "größe ohne plan o", "de"), (3, None, "en"), (4, "", None), (5, "0l lO 10 o0 00", "fr"), (6, "oo 0 o", "en")]
+    texts = [(1, "x " * 400 + "lol", "en"), (2, "größe ohne plan o", "de"), (3, None, "en"), (4, "", None), (5, "0l lO 10 o0 00", "fr"), (6, "oo 0 o", "en"), (7, "what is in the house in town in", "en"), (8, "the tree e be see", "en")]
     spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {n: {r[0]: r[1] for r in QUERIES[n](spark, str(tmp_path)).collect()} for n in ("documents_cer", "documents_wer", "documents_grade", "documents_rouge1", "bleu", "rouge_l")}
+    got = {n: {r[0]: r[1] for r in QUERIES[n](spark, str(tmp_path)).collect()} for n in ("cer", "wer", "quality_grade", "rouge1", "bleu", "rouge_l")}
 
     def edits(p, r):
         row = list(range(len(r) + 1))
@@ -185,15 +185,15 @@ def test_evaluation_reads_every_whole_document(spark, tmp_path):
 
     for k, t, _ in texts:
         r = t or ""
-        p = r.translate(str.maketrans("ol", "01"))
+        p = (r.replace(" in ", " ") if k % 3 == 1 else r.replace("e ", "e § ") if k % 3 == 2 else r).translate(str.maketrans("ol", "01"))
         rate = lambda a, b: round(100 * edits(a, b) / len(b), 6) if b else 0.0
         c, w = rate(p, r), rate(p.split(), r.split())
-        assert (got["documents_cer"][k], got["documents_wer"][k]) == (c, w)
-        assert got["documents_grade"][k] == ("EXCELLENT" if c <= 2 and w <= 5 else "GOOD" if c <= 5 and w <= 10 else "MODERATE" if c <= 10 and w <= 20 else "POOR")
+        assert (got["cer"][k], got["wer"][k]) == (c, w)
+        assert got["quality_grade"][k] == ("EXCELLENT" if c <= 2 and w <= 5 else "GOOD" if c <= 5 and w <= 10 else "MODERATE" if c <= 10 and w <= 20 else "POOR")
         common = sum((Counter(p.split()) & Counter(r.split())).values())
-        assert got["documents_rouge1"][k] == (round(common / len(r.split()), 6) if r.split() else 0.0)
+        assert got["rouge1"][k] == (round(common / len(r.split()), 6) if r.split() else 0.0)
     assert all(len(rows) == len(texts) for rows in got.values())
-    assert got["rouge_l"][1] == 400 / 401 and got["bleu"][1] > 0.99 and got["bleu"][4] == 0
+    assert got["rouge_l"][1] == pytest.approx(400 / 401, abs=1e-6) and got["bleu"][1] > 0.99 and got["bleu"][4] == 0
 
 
 def test_bounds_and_bits_align_as_the_whole_table_does():
