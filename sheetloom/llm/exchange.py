@@ -11,7 +11,7 @@ again from the written blocks, so a lost executor costs only its own tasks.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager
 from functools import lru_cache, reduce
 from typing import Any
 
@@ -22,13 +22,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetloom.llm.shared import partitions, tidy, written
+from sheetloom.llm.shared import partitions, settings, tidy, written
 
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
 BLOCKS = "payload binary, n_bytes long"
 ROWS = "kind int, bucket int, block_id long, data binary"
 
+#: Instead of a block's number: a bucket's figures, and what it stores.
+FIGURES, STORED = -1, -2
+
 #: (kind, sorted distinct keys, columns of counts beside them)
 Asked = tuple[int, np.ndarray, list[np.ndarray]]
 
@@ -37,7 +40,7 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
-    return zstandard.compress(sink.getvalue().to_pybytes(), 1)
+    return zstandard.compress(sink.getvalue().to_pybytes(), 3)
 
 
 def unpack(payload: bytes) -> pa.Table:
@@ -89,25 +92,46 @@ def packed(df: DataFrame, text_col: str, name: str) -> DataFrame:
     return written(df.mapInArrow(tidy(pack), BLOCKS).withColumn("block_id", F.monotonically_increasing_id()), name)
 
 
-def bucket_count(blocks: DataFrame) -> int:
+def text_bytes(blocks: DataFrame) -> int:
+    return blocks.agg(F.sum("n_bytes")).first()[0] or 0
+
+
+def bucket_count(spark: SparkSession, n_bytes: int) -> int:
     """So many that a bucket's keys fit a worker, from the exact number of text bytes."""
-    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(partitions(blocks.sparkSession), -(-total // BUCKET_BYTES))
+    return max(partitions(spark), -(-n_bytes // BUCKET_BYTES))
+
+
+def key_bits(n_bytes: int, spare: int) -> int:
+    """Bits of a key at which about one in ``2 ** spare`` of the keys of so many bytes of text meets another's."""
+    return min(64, max(32, n_bytes.bit_length() + spare))
+
+
+def cut(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The keys with only their leading bits."""
+    return keys if bits >= 64 else keys >> np.uint64(64 - bits) << np.uint64(64 - bits)
+
+
+_KINDS = (np.dtype("<u1"), np.dtype("<u1"), np.dtype("<u2"), np.dtype("<u4"), np.dtype("<u4"), *[np.dtype("<u8")] * 4)  # by bytes that are used
 
 
 def _planes(values: np.ndarray) -> bytes:
     """Unsigned integers as byte planes, the unused high ones left out."""
     top = int(values.max()) if len(values) else 0
     used = max(1, (top.bit_length() + 7) // 8)
-    raw = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    raw = np.ascontiguousarray(values.astype(_KINDS[used], copy=False)).view(np.uint8).reshape(len(values), _KINDS[used].itemsize)
     return bytes([used]) + np.ascontiguousarray(raw[:, :used].T).tobytes()
 
 
 def _from_planes(data: memoryview, at: int, n: int) -> tuple[np.ndarray, int]:
+    """Integers of the smallest type that holds them."""
     used = data[at]
-    raw = np.zeros((n, 8), dtype=np.uint8)
-    raw[:, :used] = np.frombuffer(data, dtype=np.uint8, count=used * n, offset=at + 1).reshape(used, n).T
-    return raw.view("<u8").reshape(-1), at + 1 + used * n
+    planes = np.frombuffer(data, dtype=np.uint8, count=used * n, offset=at + 1)
+    if used > 1:
+        kind = _KINDS[used]
+        raw = np.zeros((n, kind.itemsize), dtype=np.uint8)
+        raw[:, :used] = planes.reshape(used, n).T
+        planes = raw.view(kind).reshape(-1)
+    return planes, at + 1 + used * n
 
 
 def encode(keys: np.ndarray, values: list[np.ndarray], bits: int) -> bytes:
@@ -123,7 +147,7 @@ def decode(data: bytes, n_values: int, bits: int) -> tuple[np.ndarray, list[np.n
     keys = np.zeros(n, dtype=np.uint64)
     if n:
         keys[0] = low
-        np.cumsum(steps, out=keys[1:])
+        np.cumsum(steps, dtype=np.uint64, out=keys[1:])
         keys[1:] += np.uint64(low)
     for _ in range(n_values):
         column, at = _from_planes(view, at, n)
@@ -131,18 +155,9 @@ def decode(data: bytes, n_values: int, bits: int) -> tuple[np.ndarray, list[np.n
     return keys << np.uint64(64 - bits), values
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
+def small_batches(spark: SparkSession) -> AbstractContextManager:
     """What is written inside goes to Python in batches of at most 8 MB, or of one row."""
-    small = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(BLOCK_BYTES)}
-    before = {k: spark.conf.get(k) for k in small}
-    try:
-        for k, v in small.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1000", spark__sql__execution__arrow__maxBytesPerBatch=str(BLOCK_BYTES))
 
 
 @lru_cache
@@ -164,18 +179,22 @@ _SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block_id",
 def ask(
     asking: DataFrame,
     emit: Callable[..., list[Asked]],
-    resolve: Callable[[int, list[np.ndarray], list[list[np.ndarray]]], tuple[list[list[np.ndarray]], list[int]]],
+    resolve: Callable[..., tuple],
     n_buckets: int,
     n_values: dict[int, int],
     bits: dict[int, int],
     name: str,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """One round of questions, as a written table (kind, bucket, block_id, data).
 
     asking:  block_id, payload and any answers of earlier rounds; each row is given to ``emit`` as a dict.
     resolve: gets a kind, the keys and the value columns of every block in one bucket and returns the
-             answer columns for each block, aligned with its keys, and figures for the whole bucket.
-    Rows with block_id -1 hold a bucket's figures as 64-bit integers. ``bits``: leading bits of a key that count.
+             answer columns for each block, aligned with its keys, figures for the whole bucket, and, if it
+             likes, bytes to store for it.
+    stored:  the stored rows of another round with as many buckets; ``resolve`` gets a bucket's bytes as well.
+    Rows with block_id -1 hold a bucket's figures as 64-bit integers, those with -2 what it stores. ``bits``: leading
+    bits of a key that count.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,17 +210,31 @@ def ask(
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
+        kept: dict[tuple[int, int], bytes] = {}
         for batch in batches:
             for kind, bucket, block, data in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault((kind, bucket), []).append((block, data))
-        for (kind, bucket), asked in held.items():
+                if block == STORED:
+                    kept[kind, bucket] = data
+                else:
+                    held.setdefault((kind, bucket), []).append((block, data))
+        while held:
+            (kind, bucket), asked = held.popitem()
             asked.sort(key=lambda x: x[0])  # the same owner of a key in every attempt
+            blocks = [block for block, _ in asked]
             got = [decode(data, n_values[kind], bits[kind]) for _, data in asked]
-            answers, figures = resolve(kind, [k for k, _ in got], [v for _, v in got])
-            rows = [(kind, bucket, block, b"".join(map(_planes, columns))) for (block, _), columns in zip(asked, answers)]
-            yield _batch([*rows, (kind, bucket, -1, np.array(figures, dtype="<i8").tobytes())], _SCHEMA)
-
+            del asked
+            more = [kept.get((kind, bucket))] if looking else []
+            answers, figures, *own = resolve(kind, [k for k, _ in got], [v for _, v in got], *more)
+            del got
+            # most answers are small numbers, and they are moved and held beside the blocks more than once
+            rows = [(kind, bucket, block, zstandard.compress(b"".join(map(_planes, columns)), 1)) for block, columns in zip(blocks, answers)]
+            del answers
+            yield _batch([*rows, (kind, bucket, FIGURES, np.array(figures, dtype="<i8").tobytes()), *((kind, bucket, STORED, x) for x in own)], _SCHEMA)
+
+    looking = stored is not None
     sent = asking.mapInArrow(tidy(send), ROWS)
+    if stored is not None:
+        sent = sent.unionByName(stored.where(F.col("block_id") == STORED))
     with small_batches(asking.sparkSession):
         return written(sent.repartitionById(n_buckets, F.col("bucket")).mapInArrow(tidy(answer), ROWS), name)
 
@@ -218,17 +251,19 @@ def with_answers(blocks: DataFrame, **answers: DataFrame) -> DataFrame:
 def told(row: dict[str, Any], name: str, kind: int, keys: np.ndarray, n_buckets: int, n_columns: int) -> list[np.ndarray]:
     """The answers about ``keys`` (sorted and distinct, as asked), as columns."""
     cuts = _cuts(keys, n_buckets)
-    columns = [np.zeros(len(keys), dtype=np.uint64) for _ in range(n_columns)]
-    for got in row[name] or []:
-        if got["kind"] == kind:
-            lo, hi = cuts[got["bucket"]], cuts[got["bucket"] + 1]
-            view, at = memoryview(got["data"]), 0
-            for column in columns:
-                column[lo:hi], at = _from_planes(view, at, int(hi - lo))
-    return columns
+    parts: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.uint8)] for _ in range(n_columns)]
+    done = 0
+    for got in sorted((g for g in row[name] or [] if g["kind"] == kind), key=lambda g: g["bucket"]):
+        lo, hi = cuts[got["bucket"]], cuts[got["bucket"] + 1]
+        view, at = memoryview(zstandard.decompress(got["data"])), 0
+        for own in parts:
+            column, at = _from_planes(view, at, int(hi - lo))
+            own += [np.zeros(lo - done, dtype=np.uint8), column]
+        done = hi
+    return [np.concatenate([*own, np.zeros(len(keys) - done, dtype=np.uint8)]) for own in parts]
 
 
 def figures(answers: DataFrame, kind: int) -> np.ndarray:
     """The sum over buckets of their figures; one short row per bucket comes to the driver."""
-    rows = answers.where((F.col("block_id") == -1) & (F.col("kind") == kind)).select("data").collect()
+    rows = answers.where((F.col("block_id") == FIGURES) & (F.col("kind") == kind)).select("data").collect()
     return sum((np.frombuffer(r[0], dtype="<i8") for r in rows), np.zeros(1, dtype=np.int64))

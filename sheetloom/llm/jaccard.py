@@ -11,8 +11,12 @@ are first compared with one leader, the one with the smallest share of tokens th
 has, and then only documents that the leader did not reach with the rest, where the parity bitmaps of
 both sets leave room for the similarity. The bitmaps never rule out a similar pair.
 
+Keys that many documents share, sets that many copies have, leaders, hubs and roots are joined so that none of
+them gathers its rows in one task (``shared.meet``).
+
 Defined cases: null and wordless texts have an empty set and no links; a text of fewer words than a
-shingle is one token; rows with equal ids are separate documents that report the same id.
+shingle is one token; very long texts are whole; rows with equal ids are separate documents that report the same id; a null id
+names no component unless all of its documents have none; an empty table gives no rows; further columns are left out.
 """
 
 from __future__ import annotations
@@ -25,10 +29,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sheetloom.llm import words as W
-from sheetloom.llm.exchange import ask, bucket_count, packed, rows_of, small_batches, texts_of, told, unpack, with_answers
-from sheetloom.llm.shared import only, tidy, written
+from sheetloom.llm.exchange import ask, bucket_count, cut, key_bits, packed, rows_of, small_batches, text_bytes, texts_of, told, unpack, with_answers
+from sheetloom.llm.shared import HOT, meet, only, tidy, written
 
 SHINGLE, PERCENT = 5, 80
 #: Document frequencies from here on make a token frequent: it is indexed in pairs.
@@ -128,10 +133,11 @@ def _room(n: Column, m: Column, left: Column, right: Column, percent: int) -> Co
     return differ * (100 + percent) <= (n + m) * (100 - percent)
 
 
-def _members(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """id, n_shingles, node (null for an empty set), and for one document of each set keys and tokens if it has keys."""
-    blocks = packed(only(docs, id_col, text_col), text_col, "jaccard-blocks")
-    n_buckets = bucket_count(blocks)
+def _members(blocks: DataFrame, kind: str, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """id (of type ``kind``), place (block_id, at) of its row, n_shingles, node (null for an empty set), and for one document
+    of each set keys and tokens if it has keys."""
+    n_bytes = text_bytes(blocks)
+    n_buckets, bits = bucket_count(blocks.sparkSession, n_bytes), key_bits(n_bytes, 10)
 
     def sets_of(row: dict) -> tuple[pa.Table, list[np.ndarray], list[bytes | None], np.ndarray, np.ndarray]:
         table = unpack(row["payload"])
@@ -153,14 +159,14 @@ def _members(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
 
     def tokens_of(sets: list[np.ndarray], own: np.ndarray) -> np.ndarray:
         every = np.concatenate([sets[k] for k in own]) if len(own) else np.zeros(0, dtype=_U)
-        return every >> _U(24) << _U(24)
+        return cut(every, bits)
 
     def emit_tokens(row: dict) -> list:
         _, sets, _, own = own_sets(row)
         keys, counts = np.unique(tokens_of(sets, own), return_counts=True)
         return [(TOKENS, keys, [counts.astype(_U)])]
 
-    settings = {"n_values": {SETS: 0, TOKENS: 1}, "bits": {SETS: 64, TOKENS: 40}}
+    settings = {"n_values": {SETS: 0, TOKENS: 1}, "bits": {SETS: 64, TOKENS: bits}}
     sets = ask(blocks, emit_sets, _resolve, n_buckets, **settings, name="jaccard-sets")
     tokens = ask(with_answers(blocks, sets=sets), emit_tokens, _resolve, n_buckets, **settings, name="jaccard-tokens")
 
@@ -184,17 +190,29 @@ def _members(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
                     found[k], blobs[k], bits[k] = marks.view(np.int64), sets[k].tobytes(), _bitmap(sets[k])
             n_own = pa.array([len(s) for s in sets], pa.int64())
             ids = table.column(id_col).combine_chunks()
-            yield pa.RecordBatch.from_arrays([ids, n_own, pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(blobs, pa.binary()), pa.array(alone, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n", "node", "keys", "tokens", "alone", "bits"])
+            block, at_row = pa.array(np.full(len(sets), row["block_id"]), pa.int64()), pa.array(np.arange(len(sets)), pa.int32())
+            yield pa.RecordBatch.from_arrays([ids, block, at_row, n_own, pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(blobs, pa.binary()), pa.array(alone, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["id", "block_id", "at", "n", "node", "keys", "tokens", "alone", "bits"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    described = with_answers(blocks, sets=sets, tokens=tokens).mapInArrow(tidy(describe), f"id {kind}, n long, node binary, keys array<long>, tokens binary, alone int, bits array<long>")
-    with small_batches(docs.sparkSession):
+    described = with_answers(blocks, sets=sets, tokens=tokens).mapInArrow(tidy(describe), f"id {kind}, block_id long, at int, n long, node binary, keys array<long>, tokens binary, alone int, bits array<long>")
+    with small_batches(blocks.sparkSession):
         return written(described, "jaccard-members")
 
 
+#: Pairs of one document that verification deals to a task, at least.
+DEALT = 256
+
+
 def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches ``percent``."""
-    left = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
+    """The pairs (a, b) whose similarity reaches ``percent``. ``pairs`` is a written table.
+
+    The pairs of one ``a`` are dealt to as many tasks as they fill, each with a copy of its tokens; a ``b`` has no more
+    pairs than keys.
+    """
+    of = written(pairs.groupBy("a").agg(F.count("*").alias("m")), "jaccard-degrees")
+    most = max(DEALT, (of.agg(F.sum("m")).first()[0] or 0) // HOT)
+    shares = F.ceil(F.col("m") / most).cast("int")
+    dealt = meet(pairs, of, "a", inner=True).select("a", "b", F.pmod(F.xxhash64("b"), shares).cast("int").alias("share"))
+    left = tokens.join(of, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.col("tokens").alias("left"))
     right = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,26 +224,26 @@ def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(tidy(check), "a binary, b binary")
+    return dealt.join(left, ["a", "share"]).join(right, "b").select("a", "b", "left", "right").mapInArrow(tidy(check), "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): the smallest node that it reaches.
 
     Rounds of taking the smallest root among neighbours and then the root's own root, until none changes; every
-    round is a written table, and a hub's neighbours are reduced to one value before the exchange.
+    round is a written table, and neither a hub's links nor the nodes of one root come together in a task.
     """
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
+    roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"), F.count("*").alias("m")), "roots")
     while True:
-        heard = both.join(roots, both["b"] == roots["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
-        best = roots.join(heard, "node").select("node", "root", F.least("root", "heard").alias("best"))
-        above = roots.select(F.col("node").alias("best"), F.col("root").alias("top"))
-        moved = written(best.join(above, "best").select("node", F.least("best", "top").alias("next"), (F.least("best", "top") != F.col("root")).alias("changed")), "roots")
-        changed = moved.where("changed").limit(1).count()
-        roots = moved.select("node", F.col("next").alias("root"))
-        if not changed:
-            return roots
+        heard = meet(both, roots.select(F.col("node").alias("b"), "root", "m"), "b", inner=True).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
+        best = written(roots.join(heard, "node").select("node", "root", F.col("m").alias("degree"), F.least("root", "heard").alias("best")), "roots")
+        above = best.groupBy("best").agg(F.count("*").alias("m")).join(roots.select(F.col("node").alias("best"), F.col("root").alias("top")), "best")
+        next_ = F.least("best", "top")
+        moved = meet(best, written(above, "tops"), "best", inner=True).select("node", next_.alias("root"), F.col("degree").alias("m"), (next_ != F.col("root")).alias("changed"))
+        roots = written(moved, "roots")
+        if roots.where("changed").isEmpty():
+            return roots.select("node", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -234,40 +252,71 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents link when the Jaccard similarity of their sets of ``size``-word shingles (A-Z lower-cased, words
     without ASCII white space) is ``percent`` / 100 or more.
     """
-    members = _members(docs, id_col, text_col, size, percent)
+    blocks = packed(only(docs, id_col, text_col), text_col, "jaccard-blocks")
+    members = _members(blocks, docs.schema[id_col].dataType.simpleString(), id_col, text_col, size, percent)
+    found = meet(members.select("id", "n", "node"), _named(members, percent), "node")
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first.id", "id").alias("component_id"))
+
+
+def _named(members: DataFrame, percent: int) -> DataFrame:
+    """node, m (its documents) and the first document of its component for every set, as a written table.
+
+    The first has the smallest id, a null id comes last, and of rows of one id the first by its place.
+    """
+    roots = _linked(members, percent)
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "block_id", "at")
+    per_node = members.where("node is not null").groupBy("node").agg(F.count("*").alias("m"), F.min(place).alias("least"))
+    rooted = written(per_node.join(roots, "node", "left").select("node", F.col("m").alias("copies"), "least", F.coalesce("root", "node").alias("root")), "jaccard-rooted")
+    least = written(rooted.groupBy("root").agg(F.count("*").alias("m"), F.min("least").alias("first")), "jaccard-least")
+    return written(meet(rooted, least, "root", inner=True).select("node", F.col("copies").alias("m"), "first"), "jaccard-named")
+
+
+def _linked(members: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of the sets that link with another."""
+    spark = members.sparkSession
     owners = members.where("keys is not null")
     tokens = owners.select("node", "tokens")
-    postings = owners.select("node", "n", "alone", F.explode("keys").alias("key"))
-    shared = postings.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    postings = written(postings.join(shared, "key").distinct(), "jaccard-postings")
-    enough = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    postings = owners.select("node", "n", "alone", F.explode("keys").alias("key")).distinct()
     leader = F.min(F.struct("alone", "node", "n")).alias("leader")
-    led = postings.join(postings.groupBy("key").agg(leader).select("key", F.col("leader.node").alias("a"), F.col("leader.n").alias("m")), "key")
-    pairs = led.where((F.col("a") != F.col("node")) & enough).select("a", F.col("node").alias("b")).distinct()
-    with small_batches(docs.sparkSession):
+    shared = written(postings.groupBy("key").agg(F.count("*").alias("m"), leader).where("m > 1"), "jaccard-keys")
+    postings = written(meet(postings, shared, "key", inner=True).select("key", "node", "n", "alone", "leader"), "jaccard-postings")
+    enough = F.least("n", "k") * 100 >= F.greatest("n", "k") * percent
+    led = postings.select("node", "n", F.col("leader.node").alias("a"), F.col("leader.n").alias("k"))
+    pairs = written(led.where((F.col("a") != F.col("node")) & enough).select("a", F.col("node").alias("b")).distinct(), "jaccard-pairs")
+    with small_batches(spark):
         links = written(_verified(pairs, tokens, percent), "jaccard-links")
-    roots = components(links)
-    rooted = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("alone", "node", "root")).alias("leader"))
-    split = split.where("low != high").select("key", F.col("leader.root").alias("top"))
-    rooted = written(rooted.join(split, "key").join(owners.select("node", "bits"), "node").select("key", "top", "root", "node", "n", "bits"), "jaccard-open")
-    other = rooted.select("key", F.col("root").alias("their_root"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("their_bits"))
+    # what the leaders did not link: the rest of a key's documents, where sizes and bitmaps leave room
+    rooted = written(postings.drop("leader").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-rooted")
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"), F.min(F.struct("alone", "node", "root")).alias("leader"))
+    split = written(split.where("low != high").select("key", "m", F.col("leader.root").alias("top")), "jaccard-open-keys")
+    # sets of this similarity are of the same or of neighbouring classes of size
+    band = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int")
+    rooted = meet(rooted, split, "key", inner=True).withColumn("band", band if percent < 100 else F.col("n").cast("int"))
+    rooted = written(rooted.join(owners.select("node", "bits"), "node").select("key", "band", "top", "root", "node", "n", "bits"), "jaccard-open")
+    other = rooted.select("key", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"), F.col("root").alias("their_root"), F.col("node").alias("b"), F.col("n").alias("k"), F.col("bits").alias("their_bits"))
     apart = (F.col("their_root") == F.col("top")) | (F.col("root") < F.col("their_root"))
-    left_out = rooted.where(F.col("root") != F.col("top")).join(other, "key")
-    pairs = left_out.where(apart & enough & _room(F.col("n"), F.col("m"), F.col("bits"), F.col("their_bits"), percent)).select(F.col("node").alias("a"), "b").distinct()
-    with small_batches(docs.sparkSession):
-        roots = components(links.union(_verified(pairs, tokens, percent)))
-    least = members.where("node is not null").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    least = least.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(least, "root", "left")
-    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-
+    left_out = rooted.where(F.col("root") != F.col("top")).join(other, ["key", "band"])
+    pairs = left_out.where(apart & enough & _room(F.col("n"), F.col("k"), F.col("bits"), F.col("their_bits"), percent)).select(F.col("node").alias("a"), "b").distinct()
+    with small_batches(spark):
+        return components(written(links.union(_verified(written(pairs, "jaccard-pairs"), tokens, percent)), "jaccard-links"))
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """``docs`` without those that another document of their component stands for: the one of the smallest id stays.
 
-    Rows with a null id and repeated rows of the id that stays are kept.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component: the one of the smallest id, a null id last, and of rows of one id the
+    first by its place in the table. Documents without words link with nothing, and all of them stay, as do all columns.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone")).distinct()
-    return docs.join(gone, docs[f"`{id_col}`"] == gone["gone"], "left_anti")
+    blocks = packed(docs, text_col, "jaccard-blocks")
+    members = _members(blocks, docs.schema[id_col].dataType.simpleString(), id_col, text_col, size, percent)
+    found = meet(members.select("block_id", "at", "node"), _named(members, percent), "node", inner=True)
+    gone = found.where((F.col("first.block_id") != F.col("block_id")) | (F.col("first.at") != F.col("at")))
+    gone = gone.groupBy("block_id").agg(F.collect_list("at").alias("gone"))  # at most the rows of a block
+    schema = to_arrow_schema(docs.schema)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            table = unpack(row["payload"])
+            stays = np.ones(table.num_rows, dtype=bool)
+            stays[row["gone"] or []] = False
+            yield from table.filter(pa.array(stays)).cast(schema).to_batches()
+
+    return blocks.join(gone, "block_id", "left").mapInArrow(tidy(keep), docs.schema)

@@ -85,17 +85,20 @@ def unused(df: DataFrame, name: str) -> str:
 HOT = 4096
 
 
-def meet(rows: DataFrame, per_key: DataFrame, key: str, m: str = "m") -> DataFrame:
-    """``rows`` left-joined with ``per_key``, which has one small row for a key and ``m``, how many of ``rows`` have it.
+def meet(rows: DataFrame, per_key: DataFrame, key: str, m: str = "m", inner: bool = False) -> DataFrame:
+    """``rows`` joined with ``per_key``, which has one small row for a key and ``m``, how many of ``rows`` have it.
 
     A key that more than the 4096th part of the rows have is hot; there are fewer than 4096 of those, so they are
     broadcast and their rows stay where they are. No task of the shuffled rest gets a larger share for one key.
-    ``rows`` and ``per_key`` should be written tables, as they are read more than once.
+    Without ``inner``, rows without a partner or a key stay, with nulls. ``rows`` and ``per_key`` should be written
+    tables, as they are read more than once.
     """
-    total = per_key.agg(F.sum(m)).first()[0] or 0
-    hot = F.broadcast(per_key.where(F.col(m) > total // HOT))
-    cold = per_key.where(F.col(m) <= total // HOT)
-    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key, "left"))
+    least = (per_key.agg(F.sum(m)).first()[0] or 0) // HOT
+    hot = F.broadcast(per_key.where(F.col(m) > least))
+    cold = per_key.where(F.col(m) <= least)
+    keyed = rows.where(F.col(key).isNotNull())
+    met = keyed.join(hot, key).unionByName(keyed.join(hot, key, "left_anti").join(cold, key, "inner" if inner else "left"))
+    return met if inner else met.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
 _held: tuple[str, Any, Any] | None = None

@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructType
 
 from sheetloom.llm import words as W
-from sheetloom.llm.exchange import ask, bucket_count, packed, rows_of, texts_of, told, unpack, with_answers
+from sheetloom.llm.exchange import ask, bucket_count, cut, key_bits, packed, rows_of, text_bytes, texts_of, told, unpack, with_answers
 from sheetloom.llm.shared import tidy
 
 WINDOW = 35
@@ -32,14 +32,14 @@ PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 ANCHORS, WINDOWS = 0, 1
 
 
-def _anchors(w: W.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and 40-bit hashes of the runs at cover positions."""
+def _anchors(w: W.Words, window: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes, of so many bits, of the runs at cover positions."""
     size = window - PERIOD + 1
     at = np.arange(len(w.hashes))
     text = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
     depth = at - w.first[:-1][text]
     at = at[np.isin(depth % PERIOD, COVER) & (at + size <= w.first[1:][text])]
-    return at, W.windows(w.hashes, size, at) >> np.uint64(24) << np.uint64(24)
+    return at, cut(W.windows(w.hashes, size, at), bits)
 
 
 def _candidates(w: W.Words, window: int, anchors: np.ndarray) -> np.ndarray:
@@ -79,7 +79,8 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = WINDO
     if window <= PERIOD:
         raise ValueError(f"window must be more than {PERIOD} words")
     blocks = packed(docs, text_col, "dedup-blocks")
-    n_buckets = bucket_count(blocks)
+    n_bytes = text_bytes(blocks)
+    n_buckets, bits = bucket_count(docs.sparkSession, n_bytes), key_bits(n_bytes, 10)
 
     def words(row: dict) -> tuple[pa.Table, list[bytes], W.Words]:
         table = unpack(row["payload"])
@@ -87,12 +88,12 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = WINDO
         return table, texts, W.split(texts)
 
     def emit_anchors(row: dict) -> list:
-        _, hashes = _anchors(words(row)[2], window)
+        _, hashes = _anchors(words(row)[2], window, bits)
         keys, counts = np.unique(hashes, return_counts=True)
         return [(ANCHORS, keys, [(counts > 1).astype(np.uint64)])]
 
     def places(row: dict, w: W.Words) -> tuple[np.ndarray, np.ndarray]:
-        at, hashes = _anchors(w, window)
+        at, hashes = _anchors(w, window, bits)
         keys, index = np.unique(hashes, return_inverse=True)
         (again,) = told(row, "anchors", ANCHORS, keys, n_buckets, 1)
         at = _candidates(w, window, at[again[index] > 0])
@@ -105,7 +106,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", window: int = WINDO
         check = W.windows(w.hashes, window, at, 1)[first] >> np.uint64(32)
         return [(WINDOWS, keys, [(counts > 1).astype(np.uint64), check])]
 
-    size = {"n_values": {ANCHORS: 1, WINDOWS: 2}, "bits": {ANCHORS: 40, WINDOWS: 64}}
+    size = {"n_values": {ANCHORS: 1, WINDOWS: 2}, "bits": {ANCHORS: bits, WINDOWS: 64}}
     anchors = ask(blocks, emit_anchors, _twice, n_buckets, **size, name="dedup-anchors")
     asking = with_answers(blocks, anchors=anchors)
     repeated = ask(asking, emit_windows, _twice, n_buckets, **size, name="dedup-windows")

@@ -10,12 +10,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sheetloom.llm import bpe, decontam, fingerprint, jaccard, langid, ngram_lm, queries, sharding, substring_dedup, token_store, url_filter
+from sheetloom.llm import bpe, decontam, fingerprint, jaccard, langid, ngram_lm, queries, shared, sharding, substring_dedup, token_store, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, n_words string, ids string"
 WORDS = [f"w{i}" for i in range(120)]
@@ -39,6 +40,8 @@ EDGE = [
     _row(9, " ".join(WORDS[:60] + ["new"] + WORDS[61:])),
     _row(10, "x" * 5000),
     _row(11, "Déjà  vu\u00a0ﬁne\u2003É"),
+    _row(17, "Straße ΣΊΣΥΦΟΣ"),
+    _row(18, "STRASSE σίσυφος"),
     _row(12, "De\u0301ja\u0300 vu fine é", None),
     _row(13, " ".join(["the same line again and again"] * 40), "de"),
     _row(None, "no id here at all"),
@@ -133,6 +136,28 @@ def test_ngram_jaccard(docs):
     assert rows(jaccard.near_duplicates(docs), "doc_id", "n_shingles", "component_id") == sorted(expected, key=repr)
 
 
+def test_one_of_each_keeps_one_row_of_repeated_and_of_missing_ids(spark):
+    near = LONG.replace("w7 ", "x7 ")
+    given = [(None, LONG, 1), (5, LONG, 2), (5, LONG, 3), (3, near, 4), (7, None, 5), (8, "", 6), (9, "w1 w2", 7), (9, "other words stand here now", 8), (None, "no id but alone", 9), (None, "no id but alone", 10)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, node int").coalesce(1)
+    got = sorted(r["node"] for r in jaccard.one_of_each(docs).collect())
+    assert got in ([4, 5, 6, 7, 8, 9], [4, 5, 6, 7, 8, 10])
+    assert jaccard.one_of_each(docs).columns == docs.columns
+    assert jaccard.one_of_each(docs.limit(0)).collect() == []
+
+
+def test_hot_keys_leaders_and_copies_come_apart(spark, monkeypatch):
+    """One line in a third of the documents, one group of copies and one of near copies, with tiny limits."""
+    monkeypatch.setattr(shared, "HOT", 4)
+    monkeypatch.setattr(jaccard, "HOT", 4)
+    monkeypatch.setattr(jaccard, "DEALT", 2)
+    line = " ".join(f"line{k}" for k in range(8))
+    docs = [(k, " ".join(f"t{k}x{j}" for j in range(12)) + " " + line) for k in range(40)]
+    docs += [(100 + k, LONG) for k in range(40)] + [(200 + k, LONG.replace(f"w{3 * k} ", f"n{k} ")) for k in range(30)]
+    got = dict(rows(jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "component_id"))
+    assert all(got[k] == k for k in range(40)) and {got[k] for k in got if k >= 100} == {100}
+
+
 @pytest.mark.parametrize("frequent,group", [(2, 16), (2, 2), (1 << 20, 16)])
 def test_signatures_meet_for_similar_sets(frequent, group, monkeypatch):
     import numpy as np
@@ -187,7 +212,7 @@ def test_ngram_lm(docs):
         return max(big[a, b] - d2[min(big[a, b], 3)], 0) / total[a] + sum(d2[k] * follow[a][k] for k in (1, 2, 3)) / total[a] * one
 
     got = {}
-    for r in ngram_lm.score(docs).collect():
+    for r in ngram_lm.score(docs, order=2).collect():
         got.setdefault(repr(r[0]), []).append(tuple(r)[1:])
     expected = {}
     for i, w in tokens:
@@ -210,6 +235,15 @@ def test_trigrams_are_a_better_fit_to_what_was_learnt(spark, sf_dir):
     assert three > two
 
 
+def test_a_stored_model_scores_as_the_corpus_is_scored(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 80")
+    expected = rows(ngram_lm.score(docs), "doc_id", "n_known", "train_tokens", "base_score", "score")
+    model = ngram_lm.train(docs)
+    assert rows(ngram_lm.score_with(model, docs), "doc_id", "n_known", "train_tokens", "base_score", "score") == expected
+    (new,) = ngram_lm.score_with(model, spark.createDataFrame([(1, "never seen words")], "doc_id long, text string")).collect()
+    assert new["n_known"] <= 1 and new["score"] < -3
+
+
 def test_sharding(docs):
     got = sharding.digest(docs).collect()
     given = pairs(docs)
@@ -262,10 +296,15 @@ def test_token_store(docs, spark, tmp_path):
 
 def test_pieces_encode_as_whole_texts_do():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
     texts = ["", " ", "a", "don't we'll 'S ''s", "x1y22 3.14,000; (a)--b__c", "ªº µm İı ǅ ꙮ", "tab\tnew\n\n line \x1c\x85\u00a0 end ", "Größe, naïve Čapek’s", "a" * 300 + " " + "é" * 200, "語の 文章、 e\u0301 🙂🙂 ok", "<|endoftext|> x"]
     pieces, _ = token_store._tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    texts += [None, "x  y", "\u00a0 z", "a\u2003 b", " lead", "trail ", "a \n b\x1c c\x85 d"]
     for _ in range(2):  # the second time from what is kept
-        assert [list(struct.unpack(f"<{len(x) // 2}H", x)) for x in pieces(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids if "<|" not in t else list(struct.unpack(f"<{len(x) // 2}H", x)) for t, x in zip(texts, pieces(texts))]
+        got = pa.concat_arrays(list(pieces(pa.array(texts), b"\0\0"))).to_pylist()
+        assert [list(struct.unpack(f"<{len(x) // 2}H", x)) for x in got] == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    small = bpe.Pieces(pieces.encode, 4)  # forgets what it met first
+    assert pa.concat_arrays(list(small(pa.array(texts), b"\0\0"))).to_pylist() == got
 
 
 def test_token_store_answers_from_the_files(spark, tmp_path):
@@ -314,7 +353,7 @@ def test_fingerprint(docs):
     given = sorted(pairs(docs), key=lambda x: (x[0] is not None, x[0] or 0))
     ids = [i for i, _ in given]
     got = {repr(r["doc_id"]): r for r in fingerprint.digest(docs).collect()}
-    fold = lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t).lower()).strip()
+    fold = lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())).strip()
     by = {}
     for k, (i, t) in enumerate(given):
         t, r, after = t or "", got[repr(i)], given[(k + 1) % len(given)][1] or ""
@@ -338,6 +377,17 @@ def test_collisions_of_fingerprints_join_nothing(spark, monkeypatch):
     assert rows(fingerprint.groups(docs), "doc_id", "group_id") == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 5), (6, 6)]
 
 
+def test_case_folds_and_texts_of_hot_groups_stay_apart_from_rare_ones(spark, monkeypatch):
+    docs = [(1, "straße"), (2, "STRASSE"), (3, "σίσυφος"), (4, "ΣΊΣΥΦΟΣ"), *((10 + k, "Copy  of one") for k in range(50)), (None, "copy of ONE"), (99, "ß" * 70_000), (100, "SS" * 70_000)]
+    docs = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, fingerprint string")
+    for most in (0, 200_000):  # joined by a shuffle, and broadcast
+        monkeypatch.setattr(fingerprint, "BROADCAST", most)
+        monkeypatch.setattr(shared, "HOT", 2 if most else 4096)
+        got = dict(rows(fingerprint.groups(docs), "doc_id", "group_id"))
+        assert got == {1: 1, 2: 1, 3: 3, 4: 3, None: 10, 99: 99, 100: 99} | {10 + k: 10 for k in range(50)}
+        assert dict(rows(fingerprint.digest(docs), "doc_id", "group_id")) == got
+
+
 ITEMS = [
     (1, " ".join(WORDS[20:45])),
     (2, "One two"),
