@@ -5,7 +5,9 @@ border must fall among them. Borders are found by probing: each round counts exa
 every candidate key over all partitions, and narrows the interval of each border, until its weight
 meets the tolerance. Then the rows are exchanged once, to the shards' finer slices, and numbered there.
 
-Defined cases: null text has size 16; equal texts and ids are ties and stay together; an empty table gives no rows.
+Defined cases: null text has size 16; a null id comes first; rows of equal text and id are ties that stay together, in any order
+among themselves; very long texts are whole and a shard that holds one may be larger by it; an empty table gives no rows;
+ids that are no integers are refused; further columns are kept whatever their names, but size, shard and slot are replaced.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import IntegralType
 
-from sheetloom.llm.shared import only, partitions, written
+from sheetloom.llm.shared import only, partitions, unused, written
 
 SHARDS = 40
 OVERHEAD = 16
@@ -91,7 +94,7 @@ def borders(keyed: DataFrame, total: int, slices: int, tolerance: float = TOLERA
     return [a if goal - x <= y - goal else b for goal, (a, x), (b, y) in zip(goals, low, high)]
 
 
-def _slice(cuts: list[int]) -> Column:
+def _slice(cuts: list[int], hashed: Column, id_: Column) -> Column:
     edges = _keys(cuts)
 
     @F.pandas_udf("int")
@@ -100,7 +103,7 @@ def _slice(cuts: list[int]) -> Column:
 
         return pd.Series(np.searchsorted(edges, _key(hashed.to_numpy(), ids.to_numpy()), side="right").astype(np.int32))
 
-    return at("_hashed", "_id")
+    return at(hashed, id_)
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
@@ -109,6 +112,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     The size of a row is its text's UTF-8 bytes and 16; shards hold near equal bytes. Rows come out
     partitioned by slices of shards. Input columns of the names size, shard and slot are replaced.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}, not an integer")
     size = (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + OVERHEAD).cast("long")
     hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
@@ -124,11 +129,12 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     for s, k in enumerate(shard_of):
         first.append(ahead[k])
         ahead[k] += found[s][1] if s in found else 0
-    own = [c for c in docs.columns if c not in ("size", "shard", "slot")]
-    sliced = docs.select(*[docs[f"`{c}`"] for c in own], size.alias("size"), hashed.alias("_hashed"), key.alias("_id")).withColumn("_slice", _slice(edges))
-    in_slice = Window.partitionBy("_slice").orderBy("_hashed", "_id")
-    slot = F.get(F.lit(first), F.col("_slice")).cast("long") + F.row_number().over(in_slice) - 1
-    return sliced.select(*own, "size", F.get(F.lit(shard_of), F.col("_slice")).cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    own = [c for c in docs.columns if c.lower() not in ("size", "shard", "slot")]
+    h, i, s = (unused(docs, name) for name in ("hashed", "id", "slice"))
+    sliced = docs.select(*[docs[f"`{c}`"] for c in own], size.alias("size"), hashed.alias(h), key.alias(i)).withColumn(s, _slice(edges, F.col(h), F.col(i)))
+    in_slice = Window.partitionBy(s).orderBy(h, i)
+    slot = F.get(F.lit(first), F.col(s)).cast("long") + F.row_number().over(in_slice) - 1
+    return sliced.select(*[sliced[f"`{c}`"] for c in own], "size", F.get(F.lit(shard_of), F.col(s)).cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, folder: str) -> None:

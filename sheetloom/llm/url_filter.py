@@ -5,8 +5,8 @@ pages is shrunk to the level above by a beta-binomial prior whose strength is es
 between the level's members. A host passes if the lower bound of its posterior is high enough. Rules for
 hosts and paths come first.
 
-Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the
-overall prior; a host without labels gets its domain's prior, and so on up; without any label at all
+Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule, teaches nothing and is judged by
+the overall prior; very long urls are taken whole; rules of one length that both fit cannot differ; a host without labels gets its domain's prior, and so on up; without any label at all
 nothing is known to be good and all is blocked; repeated rows are judged each; extra columns are left alone.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetloom.llm.shared import only, written
+from sheetloom.llm.shared import meet, only, written
 
 #: (rule, verdict); a rule is a host, with all subdomains, and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -104,13 +104,13 @@ def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_co
     """id, host, path, rule, verdict for every page. outcomes: (id, good 0/1) of labelled pages."""
     host, path = host_and_path(F.col(url_col))
     urls = only(pages, id_col, url_col).select(F.col(id_col), host.alias("host"), path.alias("path"))
-    labelled = only(outcomes, id_col, "good").where("good is not null").join(urls.select(id_col, "host"), id_col).select("host", "good")
-    hosts, domains, suffixes, overall = reputation(labelled)
+    labelled = only(outcomes, id_col, "good").where("good is not null").join(urls.select(id_col, "host"), id_col)
+    hosts, domains, suffixes, overall = reputation(labelled.where("host != ''").select("host", "good"))
     domain, suffix = domain_and_suffix(F.col("host"))
     # every distinct host's bound once; then the pages, of which one host may have a third, meet one short row each
-    named = urls.select("host").distinct().select("host", domain.alias("domain"), suffix.alias("suffix"))
+    named = urls.groupBy("host").agg(F.count("*").alias("m")).select("host", "m", domain.alias("domain"), suffix.alias("suffix"))
     bounds = named.join(hosts, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left")
-    bounds = written(bounds.select("host", F.coalesce("host_bound", "domain_bound", "suffix_bound", F.lit(overall)).alias("bound")), "bounds")
+    bounds = written(bounds.select("host", "m", F.coalesce("host_bound", "domain_bound", "suffix_bound", F.lit(overall)).alias("bound")), "bounds")
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(says, F.when(F.col("bound") >= least_good, "allow").otherwise("block"))
-    return urls.join(bounds, "host").select(id_col, "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+    return meet(urls, bounds, "host", inner=True).select(id_col, "host", "path", rule.alias("rule"), verdict.alias("verdict"))

@@ -260,6 +260,25 @@ def test_sharding(docs):
         assert all(abs(sum(r["size"] for r in by.get(k, [])) - share) <= largest + share * 0.01 for k in range(40)) or len(got) < 40
 
 
+def test_sharding_equals_brute_force(spark):
+    """Shards are the runs of (hash of the text, id) whose ends are nearest to equal bytes, here with exact borders."""
+    given = [(k % 290, "copy" if k % 3 == 0 else f"text {k} " * (k % 17)) for k in range(600)] + [(None, None), (-(2**63), "x" * 3000)]
+    docs = spark.createDataFrame([(*g, 1, "c") for g in given], "doc_id long, text string, _hashed int, Slot string")
+    hashed = docs.select(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("t")).collect()
+    ordered = sorted((r["h"], -(2**63) if r["doc_id"] is None else r["doc_id"], len(r["t"].encode()) + 16) for r in hashed)
+    got = sharding.shard(docs, shards=7)
+    assert got.columns == ["doc_id", "text", "_hashed", "size", "shard", "slot"]
+    placed = sorted((r["shard"], r["slot"], r["h"], -(2**63) if r["doc_id"] is None else r["doc_id"], r["size"]) for r in got.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).collect())
+    assert [p[2:] for p in placed] == ordered  # the shards, one after another, are the sorted rows
+    total, bytes_, largest = sum(x[2] for x in ordered), Counter(), max(x[2] for x in ordered)
+    for shard, *_, size in placed:
+        bytes_[shard] += size
+    # a border may be off by half of the rows of one key; keys here have three rows at most
+    assert all(abs(sum(bytes_[s] for s in range(k)) - total * k / 7) <= 1.5 * largest for k in range(1, 7))
+    for k in range(7):
+        assert [p[1] for p in placed if p[0] == k] == list(range(sum(p[0] == k for p in placed)))
+
+
 def test_sharding_cuts_a_group_of_copies(spark):
     docs = spark.createDataFrame([(i, "copy " * 20 if i % 3 == 0 else f"text {i} " * 15) for i in range(3000)], "doc_id long, text string")
     got = sharding.shard(docs, shards=8).groupBy("shard").agg(F.sum("size")).collect()
@@ -283,6 +302,64 @@ def test_language_id_is_right_on_held_out_rows(spark, sf_dir):
     assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.97 * len(got)
 
 
+def brute_language(rows_, words_=None):
+    """The model from all rows, counted plainly, and a function that judges a text."""
+    split, grams = re.compile(r"[^\W\d_]+").findall, langid.grams_of
+    count = {k: defaultdict(Counter) for k in range(langid.LONGEST + 1)}
+    for text, lang in rows_:
+        for w in split((text or "").lower()):
+            count[0][w][lang] += 1
+            for k in range(1, langid.LONGEST + 1):
+                for g in grams(w, k):
+                    count[k][g][lang] += 1
+    langs = sorted({x for by in count.values() for c in by.values() for x in c})
+    kept = [{g: c for g, c in count[k].items() if max(c.values()) > 1} for k in count]
+    tables = {0: kept[0], 1: {g: c for k in range(1, langid.LONGEST + 1) for g, c in kept[k].items()}}
+    size = {t: {x: sum(c[x] for c in tables[t].values()) + 0.5 * len(tables[t]) for x in langs} for t in tables}
+    log = lambda t, g, x: math.log((tables[t][g][x] + 0.5) / size[t][x])
+
+    def judge(text):
+        ws = split((text or "").lower())
+        if not langs or not ws:
+            return "und", 0.0
+        total = dict.fromkeys(langs, 0.0)
+        for w in ws:
+            found, t = [w] if w in tables[0] else [], 0
+            for k in range(langid.LONGEST, 0, -1):
+                if not found:
+                    found, t = [g for g in grams(w, k) if g in tables[1]], 1
+            for x in langs:
+                total[x] += sum(log(t, g, x) for g in found) / max(len(found), 1)
+        best = max(langs, key=lambda x: (total[x], [-ord(c) for c in x]))
+        return best, 1 / sum(math.exp((total[x] - total[best]) / len(ws)) for x in langs)
+
+    return judge
+
+
+def test_language_id_equals_brute_force(spark):
+    given = [(k, t, x) for k, (t, x) in enumerate([("the cat sat on the mat", "en"), ("the dog and the cat", "en"), ("der Hund und die Katze", "de"), ("die Katze saß auf der Matte", "de"), ("le chat et le chien", "fr"), ("cat Katze chat", None), ("", "en"), (None, "de"), ("123 !", "fr"), ("der the le", "en"), ("unseen Wörter ici", "fr"), ("日本語", None)] * 4)]
+    docs = spark.createDataFrame([(*g, "s", 1) for g in given], "doc_id long, text string, lang string, score string, _judged int")
+    judge = brute_language([(t, x) for k, t, x in given if x and t is not None and zlib.crc32(str(k).encode()) % 5])
+    for r in langid.predict(docs, langid.trained(docs)).collect():
+        lang, score = judge(r["text"])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-9), r
+    kept = langid.identified(docs)
+    assert kept.columns == docs.columns and {r["score"] for r in kept.collect()} == {"s"}
+
+
+def test_mixed_and_strange_texts_are_doubtful_and_small_languages_are_learnt(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    own = docs.where("length(text) > 2000").groupBy("lang").agg(F.min("text").alias("text")).collect()
+    text = {r["lang"]: r["text"] for r in own}
+    rare = spark.createDataFrame([(10**6 + k, "xyzzy plugh frobozz", "zz") for k in range(3)], docs.schema)
+    scorer = langid.Scorer(langid.fit(docs.unionAll(rare), sample=100, words=400, grams=400))
+    assert scorer("plugh xyzzy")[0] == "zz"
+    pure = scorer(text["en"][:2000])
+    mixed = scorer(text["en"][:1000] + " " + text["de"][:1000])
+    assert pure[0] == "en" and pure[1] > mixed[1] + 0.1
+    assert scorer("日本語 テキスト")[1] < langid.LEAST_SCORE and scorer("12 !") == ("und", 0.0)
+
+
 def test_token_store(docs, spark, tmp_path):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
@@ -431,9 +508,9 @@ def test_decontamination(docs, spark, sf_dir):
 
 def test_decontamination_with_several_automata(spark):
     docs, items = spark.createDataFrame(EDGE, DOCS), spark.createDataFrame(ITEMS, "item_id long, text string")
-    one, many = (rows(decontam.scan(docs, items, most=m), "doc_id", "n_words", "n_hit", "items", "spans") for m in (1 << 20, 40))
+    one, many = (rows(decontam.scan(docs, items, most=m), "doc_id", "n_words", "n_hit", "items", "spans", "size", "ids") for m in (1 << 20, 200))
     assert one == many
-    for i, _, n_hit, _, spans in one:
+    for i, _, n_hit, _, spans, _, _ in one:
         texts = [t for j, t in pairs(docs) if j == i]
         assert sum(len(decontam.normal_words(texts[0][a["start"] : a["end"]])) for a in spans) == n_hit
 
@@ -472,6 +549,27 @@ def test_url_filter(spark):
     assert by[12][2:] == ("net/", "block")
 
 
+def test_pages_without_a_host_teach_nothing(spark):
+    pages = spark.createDataFrame([(k, f"http://good{k}.org/") for k in range(200)] + [(1000 + k, None) for k in range(21)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(k, 1) for k in range(200)] + [(1000 + k, 0) for k in range(20)], "page_id long, good int")
+    assert {r["verdict"] for r in url_filter.judge(pages, outcomes).where("page_id >= 1000").collect()} == {"allow"}
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    long = " ".join(f"word{k % 9000}" for k in range(60_000))
+    given = [(1, long), (2, "x" * 300_000), (3, long + " tail"), (4, "é" * 100_000), (5, "short one")]
+    docs = spark.createDataFrame([(*g, "a", "b", "c") for g in given], "doc_id long, text string, _coded string, payload string, items string")
+    ids = [g[0] for g in given]
+    coded = bpe.round_trip(docs)
+    assert coded.columns == [*docs.columns, "ids", "decoded"] and all(bytes(r["decoded"]).decode() == r["text"] for r in coded.collect())
+    assert [r["n_words"] for r in substring_dedup.substring_dedup(docs).orderBy("doc_id").collect()] == [60_000, 1, 60_001, 1, 2]
+    assert sorted(r["doc_id"] for r in jaccard.one_of_each(docs).collect()) == [1, 2, 4, 5]
+    assert sorted(r["doc_id"] for r in decontam.cleaned(docs, spark.createDataFrame([(1, "short one")], "item_id long, text string")).collect()) == ids[:4]
+    assert decontam.cleaned(docs, docs.select(F.col("doc_id").alias("item_id"), "text").limit(0)).columns == docs.columns
+    assert ngram_lm.score(docs).count() == fingerprint.groups(docs).count() == sharding.shard(docs).count() == token_store.digest(docs).count() == 5
+    assert langid.predict(docs, langid.fit(docs.withColumn("lang", F.lit("xx")))).where("lang_pred = 'xx'").count() == 5
+
+
 def test_url_filter_on_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     none = spark.createDataFrame([], "page_id long, good int")
