@@ -1,4 +1,8 @@
-"""A training-corpus pipeline: five stages over ``documents``, each written before the next reads it."""
+"""A training-corpus pipeline: five stages over ``documents``, each written before the next reads it.
+
+Every stage judges rows, not ids, so null and repeated ids are defined; an empty table stays empty; further columns are
+carried by all stages but the last; very long texts are whole in each. What ``run`` writes goes when the driver ends.
+"""
 
 from __future__ import annotations
 
@@ -8,25 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetloom.llm import bpe, decontam, jaccard, langid, substring_dedup
-from sheetloom.llm.shared import shared_folder
+from sheetloom.llm.shared import gone_at_exit, shared_folder, short_shuffles
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Rows that a Python worker holds at once while it encodes.
-BATCH = 500
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is undetermined or doubtful go."""
+    """Documents whose language is undetermined or doubtful go, null and empty texts among them."""
     return langid.identified(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: that of the smallest id, a null id last, of rows of one id the first."""
     return jaccard.one_of_each(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go from the texts, and documents of which nothing stays; other texts are unchanged."""
+    """Repeated passages go from the texts, and documents of which nothing stays; other texts are unchanged, null and empty ones too."""
     cut = substring_dedup.substring_dedup(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     left = cut.where((F.col("n_removed") == 0) | (F.col("n_words") > F.col("n_removed")))
@@ -34,18 +35,12 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
-    found = decontam.contaminated(decontam.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """Documents that hold benchmark passages go, each judged by its own text, whatever its id."""
+    return decontam.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of what is left, and whether they decode to the text.
-
-    A batch that goes to Python holds texts, ids and bytes at once, so batches are of ``BATCH`` rows from here on in the session.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    """The token ids of what is left, null or empty text having none, and whether they decode to the text."""
     coded = bpe.round_trip(docs)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
@@ -61,6 +56,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        result = stage(spark, docs, sf_dir)
+        with short_shuffles(spark):
+            result.write.parquet(f"{folder}/{name}")
+        gone_at_exit(spark, f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
