@@ -242,8 +242,12 @@ def valid_truth(truth: DataFrame) -> DataFrame:
     return truth.where("reference_text != '' and source_file != ''")
 
 
+def share_columns(value: str = "iou") -> list[Column]:
+    return [F.avg(value).alias("mean_iou"), *[F.avg((F.col(value) >= t).cast("double")).alias(f"iou_at_{int(t * 100)}") for t in (0.5, 0.75)]]
+
+
 def share_above(ious: DataFrame, value: str = "iou") -> DataFrame:
-    return ious.agg(F.avg(value).alias("mean_iou"), *[F.avg((F.col(value) >= t).cast("double")).alias(f"iou_at_{int(t * 100)}") for t in (0.5, 0.75)])
+    return ious.agg(*share_columns(value))
 
 
 def average_precision(detections: DataFrame, n_truth: int) -> DataFrame:

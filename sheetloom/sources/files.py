@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheetloom.functions.geometry import box_of_polygon
 from sheetloom.functions.text import strip
+from sheetloom.operators.elements import cell_grid, valid_tokens
 
 EXTENSIONS, LARGEST_MB = (".pdf",), 100.0
 
@@ -77,11 +78,32 @@ def mistral(responses: DataFrame) -> DataFrame:
     return blocks.withColumn("box", box).where("box is not null").select("doc_id", "page_number", "ord", strip(F.col("b.text")).alias("text"), F.coalesce("b.confidence", F.lit(0.8)).alias("confidence"), "box.x", "box.y", "box.w", "box.h")
 
 
-def tesseract(tables: DataFrame) -> DataFrame:
-    """Words of parallel arrays; a page without any gets one element over the whole of it, confidence 0.5."""
+def tesseract(tables: DataFrame, least: float = 0.5) -> DataFrame:
+    """Valid words of parallel arrays (text, conf of 0 to 100, left ... height), confidence 0 to 1. A page without any gets its
+    ``page_text`` as one element over the whole of it, if that column is there, with confidence 0.5."""
     columns = ("text", "conf", "left", "top", "width", "height")
-    zipped = tables.select("doc_id", "page_number", "page_width", "page_height", F.arrays_zip(*columns).alias("all"))
-    return zipped.select("doc_id", "page_number", F.posexplode("all").alias("ord", "t")).select("doc_id", "page_number", "ord", "t.text", F.col("t.conf").cast("double").alias("confidence"), *[F.col(f"t.{c}").cast("double").alias(n) for c, n in zip(columns[2:], "xywh")])
+    zipped = tables.select("doc_id", "page_number", F.posexplode(F.arrays_zip(*columns)).alias("ord", "t"))
+    conf = F.greatest(F.col("t.conf").cast("double"), F.lit(0.0))
+    words = zipped.select("doc_id", "page_number", "ord", strip(F.col("t.text")).alias("text"), conf.alias("confidence"), *[F.col(f"t.{c}").cast("double").alias(n) for c, n in zip(columns[2:], "xywh")])
+    words = valid_tokens(words, least).withColumn("confidence", F.col("confidence") / 100)
+    if "page_text" not in tables.columns:
+        return words
+    bare = tables.join(words.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_anti")
+    return words.unionByName(whole_page(bare.select("doc_id", "page_number", F.col("page_text").alias("text"), F.col("page_width").alias("width"), F.col("page_height").alias("height"))))
+
+
+def azure_tables(responses: DataFrame) -> DataFrame:
+    """Tables of responses (doc_id, page_number, width, height, response): dense grids of their cells, boxes in whole pixels."""
+    shape = f"tables array<struct<confidence: double, polygon: {_POINTS}, cells: array<struct<row_index: int, column_index: int, content: string>>>>"
+    tables = responses.select("doc_id", "page_number", "width", "height", F.posexplode(F.from_json("response", shape)["tables"]).alias("table_ord", "t"))
+    cells = tables.select("doc_id", "page_number", "table_ord", F.posexplode("t.cells").alias("ord", "c")).select("doc_id", "page_number", "table_ord", "ord", "c.row_index", F.col("c.column_index").alias("col_index"), "c.content")
+    keys = ("doc_id", "page_number", "table_ord")
+    grids = cell_grid(cells, keys).withColumns({"row_count": F.size("rows"), "column_count": F.size("headers")})
+    box = box_of_polygon(F.col("t.polygon"))
+    pixel = lambda part, size: (F.col(f"box.{part}") * F.col(size)).cast("int").cast("double")
+    placed = tables.withColumn("box", box).select(*keys, F.coalesce("t.confidence", F.lit(0.9)).alias("confidence"), F.size("t.cells").alias("cell_count"), F.coalesce(pixel("x", "width"), F.lit(0.0)).alias("x"), F.coalesce(pixel("y", "height"), F.lit(0.0)).alias("y"), F.coalesce(pixel("w", "width"), F.col("width").cast("double")).alias("w"), F.coalesce(pixel("h", "height"), F.col("height").cast("double")).alias("h"))
+    named = placed.join(grids, list(keys))
+    return named.withColumn("table_id", F.concat(F.lit("azure_table_"), "table_ord"))
 
 
 def whole_page(pages: DataFrame) -> DataFrame:
