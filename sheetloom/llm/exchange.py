@@ -13,19 +13,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import AbstractContextManager
 from functools import lru_cache, reduce
-from typing import Any
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetloom.llm.shared import partitions, settings, tidy, written
 
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
+#: Buckets, or ranges of buckets, that a block sends rows to, and blocks of a cohort, about.
+FAN = 2048
+#: Tasks of a step at most, each with one run of rows after another.
+TASKS = 50_000
 BLOCKS = "payload binary, n_bytes long"
 ROWS = "kind int, bucket int, block_id long, data binary"
 
@@ -96,9 +100,20 @@ def text_bytes(blocks: DataFrame) -> int:
     return blocks.agg(F.sum("n_bytes")).first()[0] or 0
 
 
-def bucket_count(spark: SparkSession, n_bytes: int) -> int:
+class Buckets(NamedTuple):
+    """How many buckets, how many of them are a range that blocks send to, and how many cohorts the blocks make."""
+
+    n: int
+    per: int = 1
+    cohorts: int = 1
+
+
+def bucket_count(spark: SparkSession, n_bytes: int) -> Buckets:
     """So many that a bucket's keys fit a worker, from the exact number of text bytes."""
-    return max(partitions(spark), -(-n_bytes // BUCKET_BYTES))
+    n = max(partitions(spark), -(-n_bytes // BUCKET_BYTES))
+    if n <= FAN:
+        return Buckets(n)
+    return Buckets(n, -(-n // FAN), max(1, -(-n_bytes // BLOCK_BYTES // FAN)))
 
 
 def key_bits(n_bytes: int, spare: int) -> int:
@@ -161,12 +176,14 @@ def small_batches(spark: SparkSession) -> AbstractContextManager:
 
 
 @lru_cache
-def _edges(n_buckets: int) -> np.ndarray:
-    return np.array([-(-(k << 64) // n_buckets) for k in range(1, n_buckets)], dtype=np.uint64)
+def _edges(n: int, per: int = 1) -> np.ndarray:
+    """The first keys of buckets, or of ranges of ``per`` buckets, but the first."""
+    return np.array([-(-(k << 64) // n) for k in range(per, n, per)], dtype=np.uint64)
 
 
-def _cuts(keys: np.ndarray, n_buckets: int) -> np.ndarray:
-    return np.concatenate([[0], np.searchsorted(keys, _edges(n_buckets)), [len(keys)]])
+def _cuts(keys: np.ndarray, buckets: Buckets) -> np.ndarray:
+    """Where the keys of each range that blocks send to begin, and the number of keys."""
+    return np.concatenate([[0], np.searchsorted(keys, _edges(buckets.n, buckets.per)), [len(keys)]])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -180,7 +197,7 @@ def ask(
     asking: DataFrame,
     emit: Callable[..., list[Asked]],
     resolve: Callable[..., tuple],
-    n_buckets: int,
+    n_buckets: Buckets,
     n_values: dict[int, int],
     bits: dict[int, int],
     name: str,
@@ -208,35 +225,114 @@ def ask(
             if rows:
                 yield _batch(rows, _SCHEMA)
 
+    looking, far = stored is not None, n_buckets.per > 1
+
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
-        kept: dict[tuple[int, int], bytes] = {}
-        for batch in batches:
-            for kind, bucket, block, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if block == STORED:
-                    kept[kind, bucket] = data
-                else:
-                    held.setdefault((kind, bucket), []).append((block, data))
-        while held:
-            (kind, bucket), asked = held.popitem()
-            asked.sort(key=lambda x: x[0])  # the same owner of a key in every attempt
-            blocks = [block for block, _ in asked]
-            got = [decode(data, n_values[kind], bits[kind]) for _, data in asked]
-            del asked
-            more = [kept.get((kind, bucket))] if looking else []
-            answers, figures, *own = resolve(kind, [k for k, _ in got], [v for _, v in got], *more)
+        for (kind, bucket), rows in _runs(batches, "kind", "bucket"):
+            kept = [rows.pop(0)["data"]] if rows[0]["block_id"] == STORED else [None]
+            senders = [r["block_id"] for r in rows]  # in order: the same owner of a key in every attempt
+            if not senders:
+                continue
+            got = [decode(rows[k].pop("data"), n_values[kind] + far, bits[kind]) for k in range(len(rows))]
+            answers, figures, *own = resolve(kind, [k for k, _ in got], [v[far:] for _, v in got], *kept[:looking])
+            whose = [v[:far] for _, v in got]
             del got
             # most answers are small numbers, and they are moved and held beside the blocks more than once
-            rows = [(kind, bucket, block, zstandard.compress(b"".join(map(_planes, columns)), 1)) for block, columns in zip(blocks, answers)]
+            out = [(kind, bucket, sender, b"".join(len(x).to_bytes(8, "little") for x in first) + _squeezed([*first, *columns])) for sender, first, columns in zip(senders, whose, answers)]
             del answers
-            yield _batch([*rows, (kind, bucket, FIGURES, np.array(figures, dtype="<i8").tobytes()), *((kind, bucket, STORED, x) for x in own)], _SCHEMA)
+            yield _batch([*out, (kind, bucket, FIGURES, np.array(figures, dtype="<i8").tobytes()), *((kind, bucket, STORED, x) for x in own)], _SCHEMA)
 
-    looking = stored is not None
     sent = asking.mapInArrow(tidy(send), ROWS)
-    if stored is not None:
-        sent = sent.unionByName(stored.where(F.col("block_id") == STORED))
+    more = stored.where(F.col("block_id") == STORED) if looking else None
+    tasks = max(1, min(n_buckets.n, max(TASKS, partitions(asking.sparkSession))))
+    task = F.floor(F.col("bucket") * tasks / n_buckets.n).cast("int")
     with small_batches(asking.sparkSession):
-        return written(sent.repartitionById(n_buckets, F.col("bucket")).mapInArrow(tidy(answer), ROWS), name)
+        if far:
+            sent = _merged(sent, n_buckets, n_values, bits, name)
+        asked = sent.where("bucket >= 0").unionByName(more) if looking else sent.where("bucket >= 0")
+        answered = asked.repartitionById(tasks, task).sortWithinPartitions("kind", "bucket", "block_id").mapInArrow(tidy(answer), ROWS)
+        if not far:
+            return written(answered, name)
+        return written(_returned(written(answered, f"{name}-cohorts"), sent, n_buckets), name)
+
+
+def _squeezed(columns: list[np.ndarray]) -> bytes:
+    return zstandard.compress(b"".join(map(_planes, columns)), 1)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, list[dict[str, Any]]]]:
+    """Neighbouring rows that are equal in these columns, as (their values, rows)."""
+    held: list[dict[str, Any]] = []
+    last = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = tuple(row[n] for n in names)
+            if held and key != last:
+                yield last, held
+                held = []
+            last = key
+            held.append(row)
+    if held:
+        yield last, held
+
+
+def _together(rows: DataFrame, buckets: Buckets, range_: Column, cohort: Column) -> DataFrame:
+    """Rows of one range of buckets and one cohort of blocks beside each other in one task, in order of ``bucket`` and ``block_id``."""
+    tasks = max(1, min(-(-buckets.n // buckets.per) * buckets.cohorts, max(TASKS, partitions(rows.sparkSession))))
+    marked = rows.withColumn("run_range", range_.cast("int")).withColumn("run_cohort", cohort.cast("int"))
+    dealt = marked.repartitionById(tasks, F.pmod(F.xxhash64("run_range", "run_cohort"), F.lit(tasks)).cast("int"))
+    return dealt.sortWithinPartitions("kind", "run_range", "run_cohort", "bucket", "block_id")
+
+
+def _merged(sent: DataFrame, buckets: Buckets, n_values: dict[int, int], bits: dict[int, int], name: str) -> DataFrame:
+    """One row for each cohort and bucket, with a column that says which block a key is from; written.
+
+    A row of a negative bucket -1 - range has the numbers of the cohort's blocks in that range.
+    """
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (kind, range_, cohort), rows in _runs(batches, "kind", "run_range", "run_cohort"):
+            got = [decode(r["data"], n_values[kind], bits[kind]) for r in rows]
+            keys = np.concatenate([k for k, _ in got])
+            whose = np.repeat(np.arange(len(rows)), [len(k) for k, _ in got])
+            order = np.lexsort((whose, keys))
+            columns = [whose[order], *(np.concatenate([v[j] for _, v in got])[order] for j in range(n_values[kind]))]
+            keys, first = keys[order], range_ * buckets.per
+            inner = _edges(buckets.n)[first : min(first + buckets.per, buckets.n) - 1]
+            cuts = np.concatenate([[0], np.searchsorted(keys, inner), [len(keys)]])
+            out = [(kind, -1 - range_, cohort, np.array([r["block_id"] for r in rows], dtype="<i8").tobytes())]
+            for b in np.flatnonzero(np.diff(cuts)):
+                part = slice(cuts[b], cuts[b + 1])
+                out.append((kind, first + int(b), cohort, encode(keys[part], [c[part] for c in columns], bits[kind])))
+            yield _batch(out, _SCHEMA)
+
+    cohort = F.pmod(F.xxhash64("block_id"), F.lit(buckets.cohorts))
+    return written(_together(sent, buckets, F.col("bucket"), cohort).mapInArrow(tidy(merge), ROWS), f"{name}-merged")
+
+
+def _returned(answered: DataFrame, merged: DataFrame, buckets: Buckets) -> DataFrame:
+    """The answers to cohorts as answers to blocks, a row for each range; figures and what is stored as they are."""
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (kind, range_, _), rows in _runs(batches, "kind", "run_range", "run_cohort"):
+            blocks = np.frombuffer(rows[0]["data"], dtype="<i8")  # the negative bucket comes first
+            parts = []
+            for row in rows[1:]:
+                n, raw, at = int.from_bytes(row["data"][:8], "little"), memoryview(zstandard.decompress(row["data"][8:])), 0
+                parts.append([])
+                while at < len(raw):
+                    column, at = _from_planes(raw, at, n)
+                    parts[-1].append(column)
+            every = [np.concatenate(x) for x in zip(*parts)]
+            order = np.argsort(every[0], kind="stable")
+            cuts = np.searchsorted(every[0][order], np.arange(len(blocks) + 1))
+            out = [(kind, range_, int(block), _squeezed([c[order[a:b]] for c in every[1:]])) for block, a, b in zip(blocks, cuts, cuts[1:])]
+            yield _batch(out, _SCHEMA)
+
+    own, lists = answered.where("block_id >= 0"), merged.where("bucket < 0")
+    range_ = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.floor(F.col("bucket") / buckets.per))
+    back = _together(own.unionByName(lists), buckets, range_, F.col("block_id")).mapInArrow(tidy(give), ROWS)
+    return back.unionByName(answered.where("block_id < 0"))
 
 
 def with_answers(blocks: DataFrame, **answers: DataFrame) -> DataFrame:
@@ -248,7 +344,7 @@ def with_answers(blocks: DataFrame, **answers: DataFrame) -> DataFrame:
     return reduce(lambda left, right: left.join(right.hint("shuffle_hash"), "block_id", "left"), told, blocks)
 
 
-def told(row: dict[str, Any], name: str, kind: int, keys: np.ndarray, n_buckets: int, n_columns: int) -> list[np.ndarray]:
+def told(row: dict[str, Any], name: str, kind: int, keys: np.ndarray, n_buckets: Buckets, n_columns: int) -> list[np.ndarray]:
     """The answers about ``keys`` (sorted and distinct, as asked), as columns."""
     cuts = _cuts(keys, n_buckets)
     parts: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.uint8)] for _ in range(n_columns)]

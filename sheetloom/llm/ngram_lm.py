@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetloom.llm import words as W
-from sheetloom.llm.exchange import ask, bucket_count, cut, figures, key_bits, packed, rows_of, small_batches, text_bytes, texts_of, told, unpack, with_answers
+from sheetloom.llm.exchange import Buckets, ask, bucket_count, cut, figures, key_bits, packed, rows_of, small_batches, text_bytes, texts_of, told, unpack, with_answers
 from sheetloom.llm.shared import only, written
 
 #: Of the query; a smaller model is one of fewer words of context.
@@ -174,7 +174,7 @@ class Model(NamedTuple):
 
     stored: dict[int, DataFrame]
     sums: dict[int, np.ndarray]
-    n_buckets: int
+    n_buckets: Buckets
     bits: dict[int, int]
     order: int
 
@@ -182,7 +182,7 @@ class Model(NamedTuple):
 class _Rounds:
     """What counting and scoring share: blocks with cut keys, and the probability of each token from the answers."""
 
-    def __init__(self, id_col: str, text_col: str, parts: int, order: int, n_buckets: int, bits: dict[int, int]):
+    def __init__(self, id_col: str, text_col: str, parts: int, order: int, n_buckets: Buckets, bits: dict[int, int]):
         self.id_col, self.text_col, self.parts, self.order, self.n_buckets, self.bits = id_col, text_col, parts, order, n_buckets, bits
 
     def block(self, row: dict) -> _Block:
