@@ -83,17 +83,23 @@ def unused(df: DataFrame, name: str) -> str:
 
 #: Keys that ``meet`` broadcasts at most.
 HOT = 4096
+#: Keys of a table that ``meet`` broadcasts whole, of under 200 bytes each.
+FEW = 50_000
 
 
 def meet(rows: DataFrame, per_key: DataFrame, key: str, m: str = "m", inner: bool = False) -> DataFrame:
     """``rows`` joined with ``per_key``, which has one small row for a key and ``m``, how many of ``rows`` have it.
 
-    A key that more than the 4096th part of the rows have is hot; there are fewer than 4096 of those, so they are
-    broadcast and their rows stay where they are. No task of the shuffled rest gets a larger share for one key.
+    A table of at most ``FEW`` keys is broadcast as it is. Of a larger one, a key that more than the 4096th part of the
+    rows have is hot; there are fewer than 4096 of those, so they are broadcast and their rows stay where they are. No
+    task of the shuffled rest gets a larger share for one key.
     Without ``inner``, rows without a partner or a key stay, with nulls. ``rows`` and ``per_key`` should be written
     tables, as they are read more than once.
     """
-    least = (per_key.agg(F.sum(m)).first()[0] or 0) // HOT
+    total, keys = per_key.agg(F.sum(m), F.count("*")).first()
+    if keys <= FEW:
+        return rows.join(F.broadcast(per_key), key, "inner" if inner else "left")
+    least = (total or 0) // HOT
     hot = F.broadcast(per_key.where(F.col(m) > least))
     cold = per_key.where(F.col(m) <= least)
     keyed = rows.where(F.col(key).isNotNull())

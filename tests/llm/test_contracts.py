@@ -149,6 +149,7 @@ def test_one_of_each_keeps_one_row_of_repeated_and_of_missing_ids(spark):
 def test_hot_keys_leaders_and_copies_come_apart(spark, monkeypatch):
     """One line in a third of the documents, one group of copies and one of near copies, with tiny limits."""
     monkeypatch.setattr(shared, "HOT", 4)
+    monkeypatch.setattr(shared, "FEW", 0)
     monkeypatch.setattr(jaccard, "HOT", 4)
     monkeypatch.setattr(jaccard, "DEALT", 2)
     line = " ".join(f"line{k}" for k in range(8))
@@ -460,6 +461,7 @@ def test_case_folds_and_texts_of_hot_groups_stay_apart_from_rare_ones(spark, mon
     for most in (0, 200_000):  # joined by a shuffle, and broadcast
         monkeypatch.setattr(fingerprint, "BROADCAST", most)
         monkeypatch.setattr(shared, "HOT", 2 if most else 4096)
+        monkeypatch.setattr(shared, "FEW", 0)
         got = dict(rows(fingerprint.groups(docs), "doc_id", "group_id"))
         assert got == {1: 1, 2: 1, 3: 3, 4: 3, None: 10, 99: 99, 100: 99} | {10 + k: 10 for k in range(50)}
         assert dict(rows(fingerprint.digest(docs), "doc_id", "group_id")) == got
