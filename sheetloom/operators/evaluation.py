@@ -27,11 +27,57 @@ def _masks(items: Sequence) -> dict[Any, int]:
     return {x: int.from_bytes(bits, "little") for x, bits in places.items()}
 
 
+_LOOK, _AHEAD = 16, 20  # places that are compared to see whether, and how, an alignment goes on
+_SHIFTS = np.array([1, 2, 3, 4, -1, -2, -3, -4])
+
+
+def _numbered(p: Sequence, r: Sequence) -> tuple[np.ndarray, np.ndarray]:
+    """Both as numbers that are equal where the items are, each with an end that nothing equals."""
+    if isinstance(p, str) and isinstance(r, str):
+        both = [np.frombuffer(x.encode("utf-32-le"), dtype=np.int32) for x in (p, r)]
+    else:
+        names: dict[Any, int] = {}
+        both = [np.array([names.setdefault(x, len(names)) for x in own], dtype=np.int32) for own in (p, r)]
+    return tuple(np.concatenate([x, np.full(4 * _LOOK, end, dtype=np.int32)]) for x, end in zip(both, (-1, -2)))
+
+
+def _some_alignment(p: Sequence, r: Sequence, most: int) -> int:
+    """The edits of one alignment, found in one walk: replaced while most places agree, then moved on by what makes the next ones
+    agree. It stops beyond ``most``."""
+    a, b = _numbered(p, r)
+    i, j, found, n_p, n_r = 0, 0, 0, len(p), len(r)
+    run = _LOOK + _AHEAD
+    place, step = np.arange(run), np.maximum(_SHIFTS, 0)[:, None]
+    back = np.maximum(-_SHIFTS, 0)[:, None]
+    while i < n_p and j < n_r and found <= most:
+        n = min(4096, n_p - i, n_r - j)
+        before = np.concatenate([[0], np.cumsum(a[i : i + n + _LOOK] != b[j : j + n + _LOOK])])  # beyond an end all differ
+        apart = np.flatnonzero(before[_LOOK:] - before[:-_LOOK] > _LOOK // 2)
+        k = min(int(apart[0]), n) if len(apart) else n
+        found, i, j = found + int(before[k]), i + k, j + k
+        if not len(apart) or i >= n_p or j >= n_r:
+            continue
+        stay = np.concatenate([[0], np.cumsum(a[i : i + run] != b[j : j + run])])
+        moved = np.concatenate([np.zeros((len(_SHIFTS), 1), int), np.cumsum(a[i + step + place] != b[j + back + place], axis=1)], axis=1)
+        # stay until t, then go on shifted
+        left = (n_p - i) - (n_r - j)  # a shift that evens out the lengths costs nothing that is not due anyway
+        price = np.abs(_SHIFTS) + np.abs(left - _SHIFTS) - abs(left)
+        cost = stay[None, : _LOOK + 1] + price[:, None] + moved[:, -1:] - moved[:, : _LOOK + 1]
+        s, t = divmod(int(cost.argmin()), _LOOK + 1)
+        go = int(_SHIFTS[s]) if cost[s, t] < stay[-1] else 0
+        t = min(t if go else _LOOK, n_p - i - max(go, 0), n_r - j - max(-go, 0))
+        if t < 0:
+            break
+        found += int(stay[t]) + abs(go)
+        i, j = i + t + max(go, 0), j + t + max(-go, 0)
+    return found + abs((n_p - i) - (n_r - j)) if found <= most else found
+
+
 def _edits(p: Sequence, r: Sequence) -> int:
-    """Edit distance. Items without a partner at any place are a lower bound, places that differ an upper one for
-    equal lengths; where these two are not equal, all places are aligned, a row of the table as bits of one integer."""
+    """Edit distance. Items without a partner at any place are a lower bound, an alignment found in one walk an upper one;
+    where these two are not equal, all places are aligned, a row of the table as bits of one integer."""
     least = max(len(p), len(r)) - (Counter(p) & Counter(r)).total()
-    if not p or not r or (len(p) == len(r) and sum(map(ne, p, r)) == least):
+    if not p or not r or (len(p) == len(r) and sum(map(ne, p, r)) == least) or _some_alignment(p, r, least) == least:
         return least
     masks, last, full = _masks(r), len(r) - 1, (1 << len(r)) - 1
     up, down, found = full, 0, len(r)

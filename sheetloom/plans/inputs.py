@@ -40,7 +40,7 @@ END AS text FROM part
 #: Predictions confuse o and l with digits everywhere; a third of them lack a word wherever it stands, a third have signs too many.
 _PAIRS = """
 SELECT doc_id, reference, edited, translate(edited, 'ol', '01') AS predicted FROM (
-  SELECT doc_id, reference, CASE doc_id % 3 WHEN 1 THEN replace(reference, ' in ', ' ') WHEN 2 THEN replace(reference, 'e ', 'e § ') ELSE reference END AS edited
+  SELECT doc_id, reference, CASE doc_id % 3 WHEN 1 THEN replace(reference, ' in ', ' ') WHEN 2 THEN replace(reference, ' the ', ' the § ') ELSE reference END AS edited
   FROM (SELECT doc_id, coalesce(text, '') AS reference FROM documents) d) e
 """
 
