@@ -517,7 +517,7 @@ def dimension_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "page_number", "ord", "kind", "length")
 
 
-@query(_ELEMENTS + "SELECT doc_id, page_number, ord, trim(text) AS text, 'text' AS element_type, x, 0.0 AS y, w, h, engine AS ocr_engine, CAST(ord AS varchar) AS word_num FROM elements WHERE engine = 'tesseract'")
+@query(_ELEMENTS + "SELECT doc_id, page_number, ord, trim(text) AS text, 'text' AS element_type, x, 0.0::double AS y, w, h, engine AS ocr_engine, CAST(ord AS varchar) AS word_num FROM elements WHERE engine = 'tesseract'")
 def made_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of one engine without a top, with the caller's metadata beside the engine's name."""
     found = elements(spark, sf_dir).where("engine = 'tesseract'").withColumns({"y": F.lit(None).cast("double"), "metadata": F.map_from_arrays(F.array(F.lit("word_num")), F.array(F.col("ord").cast("string")))})
