@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetloom.llm.shared import held, unused
+from sheetloom.llm.shared import give_back, held, unused
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: White space before a space, in RE2 and for ``regex``: every class of it, and the separators that only some count.
@@ -32,8 +32,8 @@ _UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029
 _SAFE = regex.compile(r"(?<![\s\x0b\x1c-\x1f]) ")
 #: Pieces whose ids a worker keeps: about 30 MB.
 KNOWN = 200_000
-#: Bytes of text that are encoded at once.
-CHUNK = 16 << 20
+#: Bytes of text that are encoded at once; what is made of them takes some ten times as much.
+CHUNK = 4 << 20
 #: Characters of a stretch without safe boundary that are encoded at once.
 STRETCH = 1 << 16
 
@@ -198,7 +198,9 @@ def round_trip(df: DataFrame, text_col: str = "text", ids: str = "ids", decoded:
         for found in _pieces(path)(texts):
             coded.append(found)
             raw.append(_bytes(path, found))
-        return pa.StructArray.from_arrays([pa.concat_arrays(coded), pa.concat_arrays(raw)], names=["ids", "decoded"])
+        coded, raw = pa.concat_arrays(coded), pa.concat_arrays(raw)
+        give_back()
+        return pa.StructArray.from_arrays([coded, raw], names=["ids", "decoded"])
 
     name = unused(df, "coded")
     coded = df.select("*", both(df[f"`{text_col}`"]).alias(name))

@@ -118,6 +118,7 @@ def held(name: str, of: Any, make: Callable[[], Any]) -> Any:
     global _held
     if _held is None or _held[0] != name or _held[1] is not of:
         _held = None
+        give_back()
         _held = (name, of, make())
     return _held[2]
 

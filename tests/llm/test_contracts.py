@@ -598,3 +598,17 @@ def test_windows_do_not_depend_on_stretches(monkeypatch):
     for a, b in zip(whole, (W.windows(w.hashes, 5), W.windows(w.hashes, 5, some), W.windows(w.hashes, 35, kind=1))):
         assert len(a) and (a == b).all()
     assert (whole[0][some] == whole[1]).all()
+
+
+def test_a_worker_encodes_a_few_megabytes_at_once_and_gives_memory_back(spark, monkeypatch):
+    text = "plain words of a text " * 500
+    texts = pa.array([text] * 1000)
+    parts = list(bpe._pieces(bpe.rank_file(None))(texts))
+    assert max(map(len, parts)) * len(text) <= 4 << 20
+    assert {x for part in parts for x in part.to_pylist()} == {b"".join(struct.pack("<I", i) for i in bpe._encoding(bpe.rank_file(None)).encode_ordinary(text))}
+    given = []
+    monkeypatch.setattr(shared, "give_back", lambda: given.append(1))
+    shared.held("one", None, dict)
+    shared.held("one", None, dict)
+    shared.held("other", None, dict)
+    assert len(given) == 2
