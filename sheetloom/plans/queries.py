@@ -246,14 +246,18 @@ def _suppressed(of: str, most: str = "") -> str:
     ).replace("unnest(kept).ord", "unnest(list_transform(kept, lambda b: b.ord))").replace("unnest(kept[1:50]).ord", "unnest(list_transform(kept[1:50], lambda b: b.ord))")
 
 
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elements(spark, sf_dir).select("doc_id", "page_number", "ord", "confidence", "x", "y", "w", "h")
+
+
 @query(_suppressed("(b.w * b.h + o.w * o.h - (greatest(least(b.x + b.w, o.x + o.w) - greatest(b.x, o.x), 0) * greatest(least(b.y + b.h, o.y + o.h) - greatest(b.y, o.y), 0)))"))
 def nms_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.suppress(elements(spark, sf_dir)).select("doc_id", "page_number", "ord")
+    return E.suppress(_boxes(spark, sf_dir)).select("doc_id", "page_number", "ord")
 
 
 @query(_suppressed("least(b.w * b.h, o.w * o.h)", "[1:50]"))
 def nms_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.suppress(elements(spark, sf_dir), "overlap", most=50).select("doc_id", "page_number", "ord")
+    return E.suppress(_boxes(spark, sf_dir), "overlap", most=50).select("doc_id", "page_number", "ord")
 
 
 _ROWS = (

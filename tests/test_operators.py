@@ -2,6 +2,7 @@ import json
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,48 @@ def test_rows_and_order_of_a_crowded_page(spark):
     assert (last["reading_position"], last["row_id"]) == (60_000, 72) and time.time() - began < 30
 
 
+def test_pairs_and_suppression_of_a_crowded_page(spark):
+    """All against all of a cell, and a fold with an array of those kept, took minutes for so many."""
+    found = _crowded(spark, 20_000, 800)
+    began = time.time()
+    pairs, kept = E.pairs(found), E.suppress(found)
+    assert pairs.count() > 100_000 and 100 < kept.count() < 10_000 and E.pairs(kept).count() == 0
+    assert pairs.where("a >= b").count() == 0 and pairs.select("a", "b").distinct().count() == pairs.count()
+    assert time.time() - began < 60
+
+
+def test_pairs_and_suppression_try_all_that_matters(spark):
+    """Against plain loops: small cells, more elements than a block, odd boxes, a null confidence."""
+    rows = [(1, k % 2, k, "", "text", [0.5, 0.9, None][k % 3], float(k * 37 % 60), k * 53 % 41 / 3, float(k * 29 % 25), k * 17 % 9 + 0.5) for k in range(120)]
+    rows += [(1, 0, 200, "", "text", 0.9, 1.0, 1.0, float("nan"), 5.0), (1, 0, 201, "", "text", 0.9, 1.0, 1.0, -4.0, 5.0), (1, 0, 202, "", "text", 0.9, None, None, None, None)]
+    found = spark.createDataFrame(rows, ELEMENTS)
+    plain = {r[2]: r for r in rows if r[2] < 200 and r[8] > 0}
+
+    def value(p, q, measure):
+        (x, y, w, h), (u, v, s, t) = p[6:], q[6:]
+        shared = max(min(x + w, u + s) - max(x, u), 0) * max(min(y + h, v + t) - max(y, v), 0)
+        return shared / (w * h + s * t - shared if measure == "iou" else min(w * h, s * t))
+
+    for measure, above in (("iou", 0.5), ("iou", 0.0), ("overlap", 0.3)):
+        expected = {(a, b): value(p, q, measure) for a, p in plain.items() for b, q in plain.items() if a < b and p[1] == q[1] and value(p, q, measure) > above}
+        for cell in (7.0, 1024.0):
+            got = [((r["a"], r["b"]), r["value"]) for r in E.pairs(found, measure, above, cell).collect()]
+            assert len(got) == len(expected) and dict(got) == expected
+        kept = []
+        for r in sorted(rows, key=lambda r: (r[5] is not None, -(r[5] or 0), r[2])):
+            if r[2] not in plain or not any((min(k, r[2]), max(k, r[2])) in expected for k in kept):
+                kept.append(r[2])
+        assert sorted(r["ord"] for r in E.suppress(found, measure, above).collect()) == sorted(kept)
+    from sheetloom.operators import boxes
+
+    own = np.array([plain[k][6:] for k in sorted(plain) if plain[k][1] == 0])
+    whole, boxes.BLOCK, boxes.CHUNK = boxes.kept(own, "iou", 0.3).tolist(), 5, 3
+    try:
+        assert boxes.kept(own, "iou", 0.3).tolist() == whole and boxes.kept(own, "iou", 0.3, 4).tolist() == whole[:4]
+    finally:
+        boxes.BLOCK, boxes.CHUNK = 2048, 1 << 19
+
+
 def test_rows_of_equal_and_missing_heights(spark):
     found = elements(spark, [(1.0, (0, y, 1, 1)) for y in (10.0, 10.0, 20.5)] + [(1.0, (None,) * 4), (1.0, (3, -0.0, 1, 1))])
     assert [r["row_id"] for r in E.rows(found).orderBy("ord").collect()] == [0, 0, 1, 0, 0]
