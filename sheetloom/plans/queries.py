@@ -585,13 +585,14 @@ def _results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Whole results of the specifications, with the elements of the page they are drawn on, and their matches."""
     n_parts = _table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]
     docs = specs(spark, sf_dir).withColumns({"filename": F.concat(F.lit("spec."), "doc_id", F.lit(".pdf")), "total_pages": F.lit(1), "document_type": T.document_type(F.col("text"))})
-    found = elements(spark, sf_dir).withColumn("doc_id", F.col("source_id") % n_parts + 1).withColumn("page_number", F.lit(1))
+    found = elements(spark, sf_dir, apart=True).withColumn("doc_id", F.col("source_id") % n_parts + 1).withColumn("page_number", F.lit(1))
     cells = spark.sql(_CELLS.format(string="string", lineitem="{lineitem}"), lineitem=_table(spark, sf_dir, "lineitem")).where(F.col("l_orderkey") <= n_parts)
     tables = E.cell_grid(cells, ("l_orderkey",)).select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("t"), "l_orderkey").alias("table_id"), "rows", "headers")
     matches = P.matches(docs)
-    keys = matches.groupBy("doc_id").agg(F.count_distinct("category").alias("n_keys"))
+    structured = sinks.structured_data(matches)
+    keys = structured.select("doc_id", F.size("structured_data").alias("n_keys")).hint("merge")
     confidence = E.document_confidence(docs.join(keys, "doc_id", "left").na.fill(0, ["n_keys"]), found, tables)
-    return R.full(docs, found, tables, sinks.structured_data(matches), confidence), matches
+    return R.full(docs, found, tables, structured, confidence), matches
 
 
 _RESULTS = _FOUND + f", specs AS ({SPECS_SQL}), elements AS MATERIALIZED (SELECT 1 + source_id % {_N_PARTS} AS doc_id, confidence, element_type FROM ({ELEMENTS_SQL})), means AS (SELECT doc_id, count(*) AS n_elements, coalesce(avg(CASE WHEN confidence > 0 THEN confidence END), 0) AS mean FROM elements GROUP BY doc_id), keys AS (SELECT doc_id, count(DISTINCT category) AS n_keys, count(*) AS n_matches FROM found GROUP BY doc_id), grids AS (SELECT l_orderkey, (max(l_linenumber) + 1) * (max(l_suppkey % 4) + 1) AS cell_count FROM lineitem GROUP BY ALL), results AS (SELECT s.doc_id, s.text, n_elements, n_keys, n_matches, cell_count, coalesce(mean * 0.4 + least(coalesce(n_keys, 0) / 4.0, 1) * 0.3 + least((cell_count IS NOT NULL)::int / 5.0, 1) * 0.2 + least(length(text) / 5000.0, 1) * 0.1, 0) AS confidence FROM specs s LEFT JOIN means USING (doc_id) LEFT JOIN keys ON keys.doc_id = 'spec-' || s.doc_id LEFT JOIN grids ON l_orderkey = s.doc_id) "
@@ -601,9 +602,7 @@ _RESULTS = _FOUND + f", specs AS ({SPECS_SQL}), elements AS MATERIALIZED (SELECT
 def full_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole, _ = _results(spark, sf_dir)
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    n = R.kpis(whole).withColumnRenamed("document_id", "id")
-    joined = whole.join(n, F.col("document_id") == F.col("id"))
-    return joined.select("document_id", sinks.result_name(F.col("filename")).alias("file"), "processing_method", F.char_length("extracted_text").alias("text_length"), F.greatest(size("elements"), F.lit(0)).cast("long").alias("n_elements"), F.col("categories").cast("long").alias("n_categories"), F.coalesce(F.get("tables", F.lit(0))["cell_count"], F.lit(0)).cast("long").alias("cell_count"), F.floor(F.col("confidence") * 100 + 1e-9).cast("int").alias("percent"))
+    return whole.select("document_id", sinks.result_name(F.col("filename")).alias("file"), "processing_method", F.char_length("extracted_text").alias("text_length"), F.greatest(size("elements"), F.lit(0)).cast("long").alias("n_elements"), R.n_categories().cast("long").alias("n_categories"), F.coalesce(F.get("tables", F.lit(0))["cell_count"], F.lit(0)).cast("long").alias("cell_count"), F.floor(F.col("confidence") * 100 + 1e-9).cast("int").alias("percent"))
 
 
 @query(_RESULTS + "SELECT CAST(doc_id AS varchar) AS document_id, 'spec.' || doc_id || '.pdf' AS filename, coalesce(n_elements, 0) AS ocr_elements, (cell_count IS NOT NULL)::int AS tables_found, coalesce(n_matches, 0) AS patterns_matched FROM results")

@@ -55,14 +55,15 @@ def full(docs: DataFrame, elements: DataFrame, tables: DataFrame, structured: Da
     """A row of the columns ``KEYS`` for every document.
 
     docs: doc_id, filename, total_pages, text and document_type. structured: doc_id, structured_data. confidence: doc_id,
-    confidence. A document's elements and tables are gathered with it, as a result is one record.
+    confidence. A document's elements and tables are gathered with it, as a result is one record. No part is broadcast: Spark
+    takes what was derived from small compressed files for small.
     """
     in_order = F.transform(sorted_by(F.collect_list(F.struct("page_number", "ord", "element")), "page_number", "ord"), lambda e: e["element"])
     own = element_rows(elements).groupBy("doc_id").agg(in_order.alias("elements"), F.struct(F.count("*").alias("total_elements"), F.max("page_number").alias("pages")).alias("spatial_analysis"))
     grids = table_rows(tables).groupBy("doc_id").agg(sorted_by(F.collect_list("table"), "table_id").alias("tables"))
     whole = docs
     for part in (own, grids, structured, confidence, metrics(elements)):
-        whole = whole.join(part, "doc_id", "left")
+        whole = whole.join(part.hint("merge"), "doc_id", "left")
     method = F.when(F.col("elements").isNull(), "pdf_text").otherwise("hybrid")
     none = F.array().cast("array<struct<image_id: string, page_number: int, format: string, size: bigint>>")
     return whole.select(
@@ -89,7 +90,7 @@ def structured_format(results: DataFrame, found: DataFrame) -> DataFrame:
     values = F.transform(F.array_sort(F.collect_list(F.struct("pattern_idx", "match_idx", "value"))), lambda m: F.struct(m["value"].alias("value"), F.lit(PATTERN_CONFIDENCE).alias("confidence"), F.lit("regex_pattern").alias("source")))
     by = found.groupBy(F.col("doc_id").cast("string").alias("document_id"), "category").agg(values.alias("values"), F.count("*").alias("n"))
     data = by.groupBy("document_id").agg(F.map_from_entries(sorted_by(F.collect_list(F.struct("category", "values")), "category")).alias("extracted_data_tables"), F.sum("n").alias("patterns_matched"))
-    whole = results.join(data, "document_id", "left")
+    whole = results.join(data.hint("merge"), "document_id", "left")
     count = lambda c: F.coalesce(F.size(c), F.lit(0))
     return whole.select(
         "document_id",
@@ -117,10 +118,15 @@ def batch(results: DataFrame, errors: DataFrame) -> tuple[DataFrame, DataFrame,
     return counts.select((F.col("successful") + F.col("failed")).alias("total_files"), "successful", "failed"), done, errors
 
 
+def n_categories() -> Column:
+    """How many categories of a result have values."""
+    filled = F.size(F.map_filter("structured_data", lambda _, v: F.size(v) > 0))
+    return F.when(F.col("structured_data").isNull(), 0).otherwise(filled)
+
+
 def kpis(results: DataFrame) -> DataFrame:
     """document_id, pages and the number of categories with values."""
-    filled = F.size(F.map_filter("structured_data", lambda _, v: F.size(v) > 0))
-    return results.select("document_id", F.col("total_pages").alias("pages"), F.when(F.col("structured_data").isNull(), 0).otherwise(filled).alias("categories"))
+    return results.select("document_id", F.col("total_pages").alias("pages"), n_categories().alias("categories"))
 
 
 def ground_truth(spark, path: str, kind: str = "json") -> DataFrame:  # noqa: ANN001

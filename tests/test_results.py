@@ -194,3 +194,10 @@ def test_error_rates_stream(spark, tmp_path):
     rows = spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, id) AS ts, double(id) AS cer, double(2 * id) AS wer FROM range(10)")
     got = error_rates(rows).orderBy("window").collect()
     assert [(r["n"], r["cer"], r["wer"]) for r in got] == [(5, 2.0, 4.0), (5, 7.0, 14.0)]
+
+
+def test_whole_results_hold_no_table_in_the_driver(spark, sf_dir):
+    from sheetloom.plans.queries import QUERIES
+
+    plan = QUERIES["full_results"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan and plan.count("posexplode") <= 4
